@@ -139,3 +139,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def is_held_out():
     """Whether a document is kept out of training: crc32 of its doc_id as text leaves 1 modulo 3."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of `docs`, unchanged, whose whole text has a determined language; the others go."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shipped.value.predict(t.as_py())[0] != UNDETERMINED for t in batch.column(at)]
+            yield batch.filter(pa.array(found, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
