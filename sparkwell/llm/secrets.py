@@ -223,10 +223,11 @@ def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, extra: tuple[Rule, ...]
     rows = with_spans(docs.select("doc_id", "text"), base, extra)
     spans = F.col("secret_spans")
     of_base = F.filter(spans, lambda s: s["place"] < len(base))
-    counts = [
-        F.size(F.filter(spans, lambda s, i=i: s["place"] == i)).cast("long").alias(f"n_{r.kind}")
-        for i, r in enumerate(base)
-    ]
+
+    def count(place):
+        return F.size(F.filter(spans, lambda s: s["place"] == place)).cast("long")
+
+    counts = [count(i).alias(f"n_{r.kind}") for i, r in enumerate(base)]
     return rows.select(
         "doc_id",
         *counts,
