@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 class Template:
     """What surrounds a turn, which roles may follow which, and which roles' texts are trained on.
 
-    A turn is written as head + role + mid + text + tail. Inside roles and texts every character of `special` gets
-    the escape character before it, so head, mid and tail, which all hold a special character, occur nowhere else.
+    A turn is written as head + role + mid + text + tail. Inside roles and texts each special character is written as
+    the escape character and a letter, so head, mid and tail, which all hold a special character, occur nowhere else.
     """
 
     head: str = "### "
     mid: str = ": "
     tail: str = " </turn>\n"
     escape: str = "\\"
-    special: str = "\\#<:"
+    special: dict = field(default_factory=lambda: {"\\": "b", "#": "h", "<": "l", ":": "c"})
     loss_roles: frozenset = frozenset({"assistant"})
     start: str = "start"
     follows: dict = field(
@@ -46,14 +46,13 @@ DIGEST = (
 
 
 def escaped(text: str, template: Template = TEMPLATE) -> str:
-    for c in template.special:  # the escape character stands first
-        text = text.replace(c, template.escape + c)
-    return text
+    return text.translate({ord(c): template.escape + code for c, code in template.special.items()})
 
 
 def unescaped(text: str, template: Template = TEMPLATE) -> str:
-    parts = text.split(template.escape * 2)
-    return template.escape.join(p.replace(template.escape, "") for p in parts)
+    meant = {code: c for c, code in template.special.items()}
+    first, *rest = text.split(template.escape)
+    return first + "".join(meant[x[0]] + x[1:] for x in rest)
 
 
 def walk(roles: Iterable[str], template: Template = TEMPLATE) -> tuple[bool, int | None]:
