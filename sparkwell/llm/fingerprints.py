@@ -1,5 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, DataFrame operations only.
 
+A paragraph is a line, cut further after those sentences that end in one of a few letters: where a cut falls depends
+on the text right before it only, so an edit changes the paragraphs that it touches and no others.
+
 A paragraph's digest is added to one cell in each of three parts of a sketch: the cell counts its digests and keeps the
 exclusive or of them and of their check values. The difference of two sketches, cell by cell, holds only the digests
 that one text has and the other has not. Peeling takes a digest from each cell that holds just one, removes it from its
@@ -18,6 +21,8 @@ from sparkwell.llm.common import whole_text
 HASHES = 3
 #: Cells of a fingerprint, and of the sketches tried when it can't be peeled; beyond the last, digests are compared.
 LEVELS = (24, 96, 384, 1536)
+#: Where a text is cut into paragraphs.
+CUTS = r"\n|(?<=[anr][.!?]) "
 #: Peeling passes over a sketch.
 ROUNDS = 14
 
@@ -28,8 +33,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def digests(text: Column) -> Column:
-    """Ascending digests of the text's non-blank paragraphs (lines); the n-th copy of a paragraph has its own digest."""
-    own = F.transform(F.filter(F.split(text, "\n", -1), lambda p: F.trim(p) != ""), lambda p: F.xxhash64(p))
+    """Ascending digests of the text's non-blank paragraphs; the n-th copy of a paragraph has its own digest."""
+    own = F.transform(F.filter(F.split(text, CUTS, -1), lambda p: F.trim(p) != ""), lambda p: F.xxhash64(p))
     numbered = lambda a: F.transform(a, lambda d, i: F.xxhash64(d, i - F.array_position(a, d)))
     return F.array_sort(let(F.array_sort(own), numbered))
 

@@ -309,7 +309,7 @@ def test_plans_are_near_the_bound(seed):
 def py_likeness(a, b):
     def keys(t):
         seen, out = defaultdict(int), set()
-        for p in t.split("\n"):
+        for p in re.split(fingerprints.CUTS, t):
             if p.strip(" "):
                 out.add((p, seen[p]))
                 seen[p] += 1
@@ -322,7 +322,7 @@ def py_likeness(a, b):
 def test_fingerprints_are_brute_force(spark):
     r = random.Random(2)
     lines = [prose(r, 6) for _ in range(60)]
-    texts = [None, "", "x", "a\n\nb\na\na", "a\nb", "\n".join(lines[:40]), "\n".join(lines[5:50]), "\n".join(lines), "é😀" * 9, "\n".join(prose(r, 2) for _ in range(900))]
+    texts = [None, "", "x", "a\n\nb\na\na", "a\nb", "\n".join(lines[:40]), "\n".join(lines[5:50]), "\n".join(lines), "é😀" * 9, "\n".join(prose(r, 2) for _ in range(900)), "On a run. He ran. It is. So n! An r? x"]
     texts += ["\n".join(r.sample(lines, r.randint(1, 30))) for _ in range(12)]
     rows = [(i * 3, t, 0) for i, t in enumerate(texts)] + [(12, "a\nb", 0)]
     got = collected(fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string, part int").repartition(3)))
