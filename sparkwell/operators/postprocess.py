@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from sparkwell.functions import parsers, recency, text, vectors
 from sparkwell.operators.chunking import prose_sentences
@@ -144,4 +145,4 @@ def sliding_rankgpt(df: DataFrame, queries: DataFrame, judge: Callable[[str, lis
         out["rank"] = range(1, len(out) + 1)
         return out
 
-    return rows.groupBy("query_id").applyInPandas(run, schema.add("rank", "int"))
+    return rows.groupBy("query_id").applyInPandas(run, schema.add("rank", IntegerType()))
