@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+import sparkwell.plans.more_queries  # noqa: F401  registers its queries
 from sparkwell.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
