@@ -217,7 +217,7 @@ def features(found: list[Element], parts: list[tuple[Element, str, int]]) -> np.
 class Trees:
     """Gradient-boosted trees for a yes-or-no label, over binned features."""
 
-    def __init__(self, rounds: int = 30, depth: int = 4, rate: float = 0.25, bins: int = 24, ridge: float = 1.0):
+    def __init__(self, rounds: int = 60, depth: int = 5, rate: float = 0.25, bins: int = 24, ridge: float = 1.0):
         self.rounds, self.depth, self.rate, self.bins, self.ridge = rounds, depth, rate, bins, ridge
         self.bounds: list[np.ndarray] = []
         self.trees: list[list[tuple[int, float, np.ndarray]]] = []
@@ -358,7 +358,7 @@ def example_page(seed: int) -> tuple[str, set[str]]:
     if r.random() < 0.25:
         inside = [tag("p", _prose(r, r.choice([1, 2, 3, 6, 12])), "", True)]
     for _ in range(r.choice([0, 0, 1, 2])):
-        inside.insert(r.randint(0, len(inside)), r.choice([edges["ad"], edges["side"], edges["share"], edges["form"]])())
+        inside.insert(r.randint(0, len(inside)), r.choice([edges["ad"], edges["side"], edges["share"], edges["form"], edges["cookie"], edges["nav"], after["footer"]])())
     text = title + "".join(inside)
     if r.random() < 0.2:
         text += after["comments"]()
@@ -375,7 +375,7 @@ def example_page(seed: int) -> tuple[str, set[str]]:
 
 
 #: Pages that the trees are trained on.
-EXAMPLES = 400
+EXAMPLES = 1000
 
 
 @lru_cache(maxsize=1)
