@@ -15,6 +15,7 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 #: Bound of the labelled sample: so many documents of each language, those with the smallest key hashes.
 SAMPLE_PER_LANGUAGE = 2_000
+SPARE = 1.25
 UNDETERMINED = "und"
 #: Code points of a text that are featurised at once.
 PIECE = 1 << 20
@@ -73,13 +74,21 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, alpha: f
     """A model from rows with doc_id, text and lang; rows without text or lang are left out.
 
     Fits on at most `per_language` documents of each language, those with the smallest hashes of doc_id, read whole.
-    What reaches the driver is one count vector per language. Without any labelled row nothing is learned, and
+    Which hashes are small enough follows from the number of each language's rows, so no language is sorted whole.
+    What reaches the driver is one number and one count vector per language. Without any labelled row nothing is learned, and
     every prediction is `und`.
     """
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    rows = labelled.select("doc_id", "text", "lang").where(F.col("lang").isNotNull())
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not sizes:
+        return Model((), np.zeros(0), np.zeros((BUCKETS, 0), np.float32))
+    # hashes below these bounds are about SPARE times as many as asked for, so only so many rows are ranked
+    bounds = [x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, SPARE * per_language / n)))]
+    key = F.xxhash64("doc_id")
+    fraction = F.shiftrightunsigned(key, 12) / F.lit(float(1 << 52))
+    rank = Window.partitionBy("lang").orderBy(key, "doc_id", F.xxhash64("text"))
     sample = (
-        labelled.select("doc_id", "text", "lang")
-        .where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+        rows.where(F.col("text").isNotNull() & (fraction <= F.element_at(F.create_map(*bounds), F.col("lang"))))
         .withColumn("rank", F.row_number().over(rank))
         .where(F.col("rank") <= per_language)
         .select("lang", "text")

@@ -339,3 +339,61 @@ def test_fingerprints_are_brute_force(spark):
     for r in got:
         text = next(t for i, t in order if i == r["doc_id"])
         assert by.setdefault(text, r["fingerprint"]) == r["fingerprint"]
+
+
+def py_template(text):
+    import regex
+
+    raw = [m.group() for m in regex.finditer(r"(?:(?<=[\p{Ll},;]) )?\p{L}[\p{L}\p{M}]*|[0-9]+(?:[.,][0-9]+)*", text or "")]
+    out = []
+    for i, t in enumerate(raw):
+        own = t.lstrip(" ")
+        if t[0].isdigit():
+            out.append("#")
+        elif i and raw[i - 1][0].isdigit() and own.lower() in decontamination.UNITS:
+            out.append("%")
+        elif t[0] == " " and own[0] != own[0].lower():
+            out.append("@")
+        else:
+            out.append(own.lower())
+    return [t.lstrip(" ") for t in raw], out
+
+
+def brute_leaks(docs, items, window=8, cover=0.5, literal=4):
+    found = {}
+    made = {i: py_template(t) for i, t in items}
+    for d, text in docs:
+        raw, template = py_template(text)
+        at = defaultdict(list)
+        for k in range(len(template) - window + 1):
+            at[tuple(template[k : k + window])].append(k)
+        for i, (iraw, itemplate) in made.items():
+            shifts = defaultdict(set)
+            for k in range(len(itemplate) - window + 1):
+                own = itemplate[k : k + window]
+                if sum(t not in "#@%" for t in own) >= literal:
+                    for p in at.get(tuple(own), ()):
+                        shifts[p - k] |= set(range(k, k + window))
+            covered, same = set(), True
+            for shift, places in shifts.items():
+                slots = {(itemplate[p], iraw[p], raw[p + shift]) for p in places if itemplate[p] in "#@%"}
+                if len({s[:2] for s in slots}) == len(slots):
+                    covered |= places
+                    same &= all(a == b for _, a, b in slots)
+            if covered and len(covered) >= cover * len(itemplate):
+                found[d, i] = (len(covered), len(itemplate), same)
+    return found
+
+
+def test_decontamination_is_brute_force(spark):
+    df, bench = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    docs = [(r.doc_id, r.text) for r in df.collect()]
+    r = random.Random(9)
+    for k, (_, t) in enumerate(items):
+        words = t.split()
+        words[r.randrange(len(words))] = "12"
+        docs.append((10_000 + k, prose(r, 9) + " " + " ".join(words[: r.randint(4, len(words))]) + " " + prose(r, 9)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.covered, x.item_tokens, x.same_slots) for x in decontamination.leaks(df, bench).collect()}
+    assert got == brute_leaks(docs, items) and len(got) > 10
