@@ -1,7 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, DataFrame operations only.
 
-A paragraph is a line, cut further after those sentences that end in one of a few letters: where a cut falls depends
-on the text right before it only, so an edit changes the paragraphs that it touches and no others.
+A paragraph is a line.
 
 A paragraph's digest is added to one cell in each of three parts of a sketch: the cell counts its digests and keeps the
 exclusive or of them and of their check values. The difference of two sketches, cell by cell, holds only the digests
@@ -22,7 +21,7 @@ HASHES = 3
 #: Cells of a fingerprint, and of the sketches tried when it can't be peeled; beyond the last, digests are compared.
 LEVELS = (24, 96, 384, 1536)
 #: Where a text is cut into paragraphs.
-CUTS = r"\n|(?<=[anr][.!?]) "
+CUTS = r"\n"
 #: Peeling passes over a sketch.
 ROUNDS = 14
 
