@@ -109,7 +109,8 @@ def sub_questions(text: Column) -> Column:
     """struct(sub_question, tool_name) items of a JSON answer."""
     plain = F.from_json(json_text(text), "array<struct<sub_question:string,tool_name:string>>")
     wrapped = F.from_json(json_text(text), "struct<items:array<struct<sub_question:string,tool_name:string>>>")
-    return F.coalesce(plain, wrapped["items"])
+    # an object read as an array is an array of it
+    return F.coalesce(F.when(F.startswith(json_text(text), F.lit("{")), wrapped["items"]), plain)
 
 
 def bracketed_questions(text: Column) -> Column:
