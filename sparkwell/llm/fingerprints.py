@@ -1,6 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, DataFrame operations only.
 
-A paragraph is a line.
+A paragraph is a line, cut further at spaces after anything but most lower-case Latin letters (so after sentence ends, and
+after words that end in n) and after full-width punctuation: where a cut falls depends on the character before it only, so
+an edit changes the paragraphs that it touches and no others, and a text of one line has several.
 
 A paragraph's digest is added to one cell in each of three parts of a sketch: the cell counts its digests and keeps the
 exclusive or of them and of their check values. The difference of two sketches, cell by cell, holds only the digests
@@ -10,6 +12,7 @@ other cells, and goes on; if cells remain in the end, a larger sketch of both te
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,7 +24,7 @@ HASHES = 3
 #: Cells of a fingerprint, and of the sketches tried when it can't be peeled; beyond the last, digests are compared.
 LEVELS = (24, 96, 384, 1536)
 #: Where a text is cut into paragraphs.
-CUTS = r"\n"
+CUTS = r"\n|(?<![a-mo-z]) |(?<=[\u3001\u3002\uff01\uff0c\uff1b\uff1f])"
 #: Peeling passes over a sketch.
 ROUNDS = 14
 
@@ -55,22 +58,42 @@ def _add(cell: Column, n: Column, digest: Column, check: Column) -> Column:
     )
 
 
-def sketch(keys: Column, cells: int) -> Column:
-    """Array of `cells` structs (n, k, c) of an array of digests."""
+def entries(keys: Column) -> Column:
+    """Each digest of an array as the content (n, k, c) of a cell that holds it alone."""
+    return F.transform(keys, lambda d: F.struct(F.lit(1).alias("n"), d.alias("k"), _check(d).alias("c")))
+
+
+def sketch(held: Column, cells: int) -> Column:
+    """Array of `cells` structs (n, k, c) of an array of such structs, each added to its cell of every part.
+
+    The entries are dealt to runs of about the square root of a part's cells before they are dealt to cells.
+    """
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
     width = cells // HASHES
+    run = width if width <= 8 else math.isqrt(width - 1) + 1
 
     def part(p):
-        placed = F.transform(
-            keys, lambda d: F.struct(_cell(d, p, cells).alias("at"), d.alias("k"), _check(d).alias("c"))
-        )
-        fill = lambda placed: F.transform(
-            F.sequence(F.lit(p * width).cast("long"), F.lit(p * width + width - 1).cast("long")),
-            lambda at: F.aggregate(
-                F.filter(placed, lambda x: x["at"] == at), zero, lambda cell, x: _add(cell, F.lit(1), x["k"], x["c"])
-            ),
-        )
-        return let(placed, fill)
+        first, end = p * width, (p + 1) * width
+
+        def fill(placed, start, stop):
+            return F.transform(
+                F.sequence(start, stop - F.lit(1)),
+                lambda at: F.aggregate(
+                    F.filter(placed, lambda x: x["at"] == at), zero, lambda cell, x: _add(cell, x["n"], x["k"], x["c"])
+                ),
+            )
+
+        def runs(placed):
+            if run == width:
+                return fill(placed, F.lit(first).cast("long"), F.lit(end).cast("long"))
+            within = lambda at: F.filter(placed, lambda x: (x["at"] >= at) & (x["at"] < at + run))
+            starts = F.sequence(F.lit(first).cast("long"), F.lit(end - 1).cast("long"), F.lit(run).cast("long"))
+            return F.flatten(
+                F.transform(starts, lambda at: let(within(at), lambda own: fill(own, at, F.least(at + run, F.lit(end)))))
+            )
+
+        placed = F.transform(held, lambda x: F.struct(_cell(x["k"], p, cells).alias("at"), x["n"], x["k"], x["c"]))
+        return let(placed, runs)
 
     return F.concat(*[part(p) for p in range(HASHES)])
 
@@ -80,39 +103,31 @@ def minus(a: Column, b: Column) -> Column:
 
 
 def peeled(difference: Column, cells: int) -> Column:
-    """(cells, found): what remains of a difference and the digests that were recovered."""
-    start = F.struct(difference.alias("cells"), F.array().cast("array<bigint>").alias("found"))
+    """(cells, pure, found): what remains of a difference, its cells of one digest, and the digests that were recovered."""
 
     def single(cell):
         return (F.abs(cell["n"]) == 1) & (cell["c"] == _check(cell["k"]))
 
-    def step(state, _):
-        def take(pure):
-            def removed(cell, i):
-                held = lambda p: (p["p0"] == i) | (p["p1"] == i) | (p["p2"] == i)
-                return F.aggregate(F.filter(pure, held), cell, lambda c, p: _add(c, -p["n"], p["k"], p["c"]))
-
-            return F.when(
-                F.size(pure) > 0,
-                F.struct(
-                    F.transform(state["cells"], removed).alias("cells"),
-                    F.concat(state["found"], F.transform(pure, lambda p: p["k"])).alias("found"),
-                ),
-            ).otherwise(state)
-
-        pure = F.array_distinct(F.filter(state["cells"], single))
-        placed = lambda c: F.struct(
-            c["n"], c["k"], c["c"], *[_cell(c["k"], p, cells).alias(f"p{p}") for p in range(HASHES)]
+    def state(left, found):
+        return let(
+            left,
+            lambda x: F.struct(x.alias("cells"), F.array_distinct(F.filter(x, single)).alias("pure"), found.alias("found")),
         )
-        return let(F.transform(pure, placed), take)
 
+    def step(held, _):
+        found = F.concat(held["found"], F.transform(held["pure"], lambda p: p["k"]))
+        return F.when(
+            F.size(held["pure"]) > 0, state(minus(held["cells"], sketch(held["pure"], cells)), found)
+        ).otherwise(held)
+
+    start = state(difference, F.array().cast("array<bigint>"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
 
 
 def differing(a: Column, b: Column, cells: int) -> Column:
     """How many digests differ, by peeling sketches of so many cells; null if the peeling gets stuck."""
     clear = lambda s: F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0))
-    return let(peeled(minus(sketch(a, cells), sketch(b, cells)), cells), lambda s: F.when(clear(s), F.size(s["found"])))
+    return let(peeled(minus(sketch(entries(a), cells), sketch(entries(b), cells)), cells), lambda s: F.when(clear(s), F.size(s["found"])))
 
 
 def likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
@@ -202,8 +217,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         digests(F.col("edited")).alias("edited_keys"),
         digests(F.col("next_text")).alias("next_keys"),
     )
-    rows = rows.withColumn("fingerprint", written(sketch(F.col("own_keys"), LEVELS[0])))
-    rows = rows.withColumn("edited_fingerprint", written(sketch(F.col("edited_keys"), LEVELS[0])))
+    rows = rows.withColumn("fingerprint", written(sketch(entries(F.col("own_keys")), LEVELS[0])))
+    rows = rows.withColumn("edited_fingerprint", written(sketch(entries(F.col("edited_keys")), LEVELS[0])))
     rows = likeness(rows, "own_keys", "edited_keys", "near_edited")
     rows = likeness(rows, "own_keys", "next_keys", "near_next")
     return rows.select(

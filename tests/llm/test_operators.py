@@ -397,3 +397,10 @@ def test_decontamination_is_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {(x.doc_id, x.item_id): (x.covered, x.item_tokens, x.same_slots) for x in decontamination.leaks(df, bench).collect()}
     assert got == brute_leaks(docs, items) and len(got) > 10
+
+
+def test_texts_of_one_line_have_several_digests(spark):
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["garden", "river", "mon", "lantern", "casa", "haus", "stone"]) for _ in range(60)) for _ in range(8)]
+    got = collected(fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert len(got) == 8 and all(x["near_edited"] > 0.1 for x in got)
