@@ -71,24 +71,18 @@ def _items(benchmark: DataFrame, window: int) -> DataFrame:
     return rows.select("item_id", "item_raw", template_tokens(F.col("item_raw")).alias("item_template"))
 
 
+def text_hash() -> Column:
+    return F.xxhash64(whole_text())
+
+
 def _trimmed(raw: Column) -> Column:
     return F.transform(raw, lambda t: F.ltrim(t))
 
 
-def leaks(
+def _text_leaks(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, literal: int = LITERAL
 ) -> DataFrame:
-    """(doc_id, item_id, covered, item_tokens, same_slots) of each document and benchmark item that it contains.
-
-    covered counts the item's tokens in windows whose template the document has at one alignment with consistent
-    slots; a pair is returned if that is at least `cover` of the item's tokens. same_slots is false for a
-    re-parameterised question. Null and empty texts contain nothing; items of fewer than `window` tokens, or whose
-    windows have fewer than `literal` literal tokens, are too general and match nothing; repeated items and documents
-    give one row for each doc_id and item_id; empty tables give no rows; extra columns are ignored.
-
-    The benchmark's windows are broadcast if its text has at most BROADCAST_BYTES (a sum asked for first), else
-    joined by a shuffle.
-    """
+    """The rows of leaks() for each text: doc_id and text_hash together tell the texts of one doc_id or of none apart."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     small = F.broadcast if size <= BROADCAST_BYTES else (lambda df: df)
     items = _items(benchmark, window)
@@ -100,20 +94,22 @@ def leaks(
         .where(literals(F.col("at")) >= literal)
         .select("item_id", F.col("at").alias("item_at"), "hash")
     )
-    text = docs.select(F.col("doc_id"), whole_text().alias("text"))
+    text = docs.select("doc_id", text_hash().alias("text_hash"), whole_text().alias("text"))
     held = (
-        text.select("doc_id", raw_tokens(F.col("text")).alias("raw"))
-        .select("doc_id", template_tokens(F.col("raw")).alias("template"))
-        .select("doc_id", F.posexplode(windows(F.col("template"), window)).alias("at", "hash"))
+        text.select("doc_id", "text_hash", raw_tokens(F.col("text")).alias("raw"))
+        .select("doc_id", "text_hash", template_tokens(F.col("raw")).alias("template"))
+        .select("doc_id", "text_hash", F.posexplode(windows(F.col("template"), window)).alias("at", "hash"))
     )
     aligned = (
         held.join(small(asked), "hash")
-        .groupBy("doc_id", "item_id")
+        .groupBy("doc_id", "text_hash", "item_id")
         .agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts"))
     )
-    texts = text.join(aligned.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id"))).drop("hit_id")
+    hits = aligned.withColumnsRenamed({"doc_id": "hit_id", "text_hash": "hit_text"})
+    same_text = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_text"))
+    texts = text.join(hits, same_text).drop("hit_id", "hit_text")
     both = (
-        texts.select("doc_id", "item_id", "shifts", raw_tokens(F.col("text")).alias("raw"))
+        texts.select("doc_id", "text_hash", "item_id", "shifts", raw_tokens(F.col("text")).alias("raw"))
         .withColumn("template", template_tokens(F.col("raw")))
         .join(small(items), "item_id")
     )
@@ -145,7 +141,7 @@ def leaks(
         "same", F.forall("slots", lambda s: s["asked"] == s["held"])
     )
     return (
-        consistent.groupBy("doc_id", "item_id")
+        consistent.groupBy("doc_id", "text_hash", "item_id")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("covered"),
             F.max(F.size("item_template")).alias("item_tokens"),
@@ -155,7 +151,32 @@ def leaks(
     )
 
 
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, literal: int = LITERAL
+) -> DataFrame:
+    """(doc_id, item_id, covered, item_tokens, same_slots) of each document and benchmark item that it contains.
+
+    covered counts the item's tokens in windows whose template the document has at one alignment with consistent
+    slots; a pair is returned if that is at least `cover` of the item's tokens. same_slots is false for a
+    re-parameterised question. Null and empty texts contain nothing; items of fewer than `window` tokens, or whose
+    windows have fewer than `literal` literal tokens, are too general and match nothing; repeated items and documents
+    give one row for each doc_id and item_id; texts that share a doc_id, or have none, are judged each by itself, and the
+    row of those that contain the item has the largest covered; empty tables give no rows; extra columns are ignored.
+
+    The benchmark's windows are broadcast if its text has at most BROADCAST_BYTES (a sum asked for first), else
+    joined by a shuffle.
+    """
+    found = _text_leaks(docs, benchmark, window, cover, literal)
+    return found.groupBy("doc_id", "item_id").agg(
+        F.max("covered").alias("covered"),
+        F.max("item_tokens").alias("item_tokens"),
+        F.min("same_slots").alias("same_slots"),
+    )
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that contain no benchmark item, unchanged in columns."""
-    found = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__leak_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__leak_id")), "left_anti")
+    """The rows of `docs` whose own text contains no benchmark item, unchanged in columns."""
+    found = _text_leaks(docs, benchmark, **options)
+    found = found.select(F.col("doc_id").alias("__leak_id"), F.col("text_hash").alias("__leak_text")).distinct()
+    own = F.col("doc_id").eqNullSafe(F.col("__leak_id")) & (text_hash() == F.col("__leak_text"))
+    return docs.join(found, own, "left_anti")

@@ -399,6 +399,22 @@ def test_decontamination_is_brute_force(spark):
     assert got == brute_leaks(docs, items) and len(got) > 10
 
 
+def test_texts_that_share_an_id_are_judged_each(spark):
+    item = "a farmer has seven green barrels of old cider and sells three of them at the market in town before noon on friday"
+    words = item.split()
+    clean, leak = "the river ran slowly past the old mill while children played near it", "We noted that " + item
+    parts = [" ".join(words[:10]) + " and so on", "then there was " + " ".join(words[-10:])]
+    rows = [(i, t) for i in (None, 4) for t in (clean, leak, *parts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = [(x.doc_id, x.item_id, x.covered) for x in decontamination.leaks(df, bench).collect()]
+    assert sorted(got, key=str) == sorted([(None, 1, len(words)), (4, 1, len(words))], key=str)
+    kept = [(x.doc_id, x.text) for x in decontamination.decontaminated(df, bench).collect()]
+    assert sorted(kept, key=str) == sorted((x for x in rows if x[1] != leak), key=str)
+    some = df.where(df.text != leak)
+    assert decontamination.leaks(some, bench).count() == 0 and decontamination.decontaminated(some, bench).count() == 6
+
+
 def test_texts_of_one_line_have_several_digests(spark):
     r = random.Random(8)
     texts = [" ".join(r.choice(["garden", "river", "mon", "lantern", "casa", "haus", "stone"]) for _ in range(60)) for _ in range(8)]
