@@ -28,13 +28,13 @@ from sparkwell.llm.tokens import byte_alphabet
 #: Lengths above limit / SMALL are grouped, the others are best-fitted afterwards.
 SMALL = 6
 #: Groups of equal cardinality, and so sizes in a configuration.
-GROUPS = 32
-#: A filled configuration is kept if this share of its room at most stays free, or room for another large piece.
-SLACK = 0.001
+GROUPS = 128
+#: Configurations are optimised to within this share of the optimum.
+GAP = 0.002
 #: Parts in which the pieces of one length are numbered independently.
 PARTS = 256
-#: Words that a worker remembers the ids of.
-REMEMBERED = 600_000
+#: Words that a worker remembers the ids of, and the bytes of the longest such word.
+REMEMBERED, LONGEST = 600_000, 64
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
@@ -98,7 +98,7 @@ class Coder:
         else:
             found = self.tokenizer.encode(run, add_special_tokens=False).ids
         ids = struct.pack(f"<{len(found)}I", *found)
-        if len(self.runs) < REMEMBERED:
+        if len(self.runs) < REMEMBERED and len(run) <= LONGEST:
             self.runs[run] = ids
         return ids
 
@@ -127,7 +127,8 @@ class Coder:
             new = list(set(words).difference(self.known))
             found = dict(zip(new, self._new(new), strict=True))
             if len(self.known) < REMEMBERED:  # frequent words come early
-                self.known.update(found)
+                self.known.update((w, x) for w, x in found.items() if len(w) <= LONGEST)
+            if all(map(self.known.__contains__, new)):
                 return b"".join(map(self.known.__getitem__, words))
             return b"".join([found[w] if w in found else self.known[w] for w in words])
 
@@ -165,16 +166,17 @@ def cut_pieces(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 
-def _configurations(sizes: list[int], demand: list[int], limit: int) -> list[tuple[np.ndarray, float]]:
-    """(items of each size, how often) that cover the demand with few bins: the cutting-stock programme, by columns.
+def _configurations(sizes: list[int], demand: list[int], limit: int) -> list[tuple[list[int], float]]:
+    """(rounded sizes, how often) of the sequences that cover the demand: the cutting-stock programme, by columns.
 
-    A simplex over one row per size; a new column is the best-valued knapsack at the current prices.
+    A simplex over one row per size; a new column is the best-valued knapsack at the current prices. It ends when the
+    best column is worth at most 1 + GAP, so the number of sequences is within that factor of the programme's optimum.
     """
     m = len(sizes)
     basis = np.diag([float(limit // s) for s in sizes])
     inverse = np.diag([1.0 / (limit // s) for s in sizes])
     amount = np.array(demand, float) @ inverse
-    for _ in range(40 * m):
+    for _ in range(60 * m):
         price = inverse.sum(axis=0)
         best = np.zeros((m + 1, limit + 1))
         for k, (s, y) in enumerate(zip(sizes, price, strict=True)):
@@ -182,7 +184,7 @@ def _configurations(sizes: list[int], demand: list[int], limit: int) -> list[tup
             if y > 1e-12:
                 for _ in range(limit // s):
                     np.maximum(best[k + 1, s:], best[k + 1, :-s] + y, out=best[k + 1, s:])
-        if best[m, limit] <= 1 + 1e-7:
+        if best[m, limit] <= 1 + GAP:
             break
         column, room = np.zeros(m), limit
         for k in range(m - 1, -1, -1):
@@ -204,7 +206,8 @@ def _configurations(sizes: list[int], demand: list[int], limit: int) -> list[tup
         inverse = inverse - np.outer(change, pivot)
         inverse[row] = pivot
         basis[:, row] = column
-    return [(basis[:, i].astype(int), float(amount[i])) for i in range(m) if amount[i] >= 1]
+    slots = [[s for s, n in zip(sizes, basis[:, i], strict=True) for _ in range(int(n))] for i in range(m)]
+    return [(own, float(often)) for own, often in zip(slots, amount, strict=True) if own and often > 1e-9]
 
 
 class Plan:
@@ -217,6 +220,11 @@ class Plan:
         #: by free room: (sequences, first sequence, tokens in it)
         self.open: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         self.rooms = np.zeros(limit + 1, bool)
+        #: Pieces that filled configurations, those of full length included.
+        self.by_configuration = 0
+
+    def placed(self) -> int:
+        return sum(self.used.values())
 
     def place(self, length: int, n: int, sequence: int, offset: int) -> None:
         """The next n pieces of this length go to so many sequences from `sequence` on."""
@@ -255,67 +263,80 @@ class Plan:
             n -= now
 
 
+def _groups(counts: dict[int, int], lengths: list[int], groups: int) -> tuple[list[int], list[int]]:
+    """Descending lengths in groups of equal cardinality: each group's largest length, and how many pieces it rounds up.
+
+    Groups of one size are one.
+    """
+    share, room = -(-sum(counts[x] for x in lengths) // groups), 0
+    sizes: list[int] = []
+    demand: list[int] = []
+    for x in lengths:
+        n = counts[x]
+        while n:
+            if not room:
+                room = share
+                if not sizes or sizes[-1] != x:
+                    sizes.append(x)
+                    demand.append(0)
+            now = min(n, room)
+            demand[-1] += now
+            room -= now
+            n -= now
+    return sizes, demand
+
+
 def plan_packing(counts: dict[int, int], limit: int = 2048, groups: int = GROUPS, small: int = SMALL) -> Plan:
     """A place for every piece, from the number of pieces of each length.
 
     Large lengths are put in `groups` groups of equal cardinality and rounded up to the largest of their group; the
-    configurations of these few sizes are optimised; whole multiples of them are filled with the actual lengths; what
-    is left over and all small lengths, longest first, are best-fitted into the room that remains.
+    configurations of these few sizes are optimised. Then actual pieces take the places of rounded ones: a slot gets the
+    longest piece left that is no longer than its size, the last slot of a sequence the longest that fits the room, so
+    what rounding up lost is given back. Whole multiples of the configurations are filled first, then one sequence more
+    of each as long as there are pieces for all its slots. What is left over and all small lengths, longest first, are
+    best-fitted into the room that remains. Pieces of `limit` ids are a sequence each.
     """
-    plan, left = Plan(limit), dict(counts)
-    large = sorted((x for x in counts if x > limit // small and counts[x]), reverse=True)
-    total = sum(counts[x] for x in large)
-    if total:
-        members: list[list[list[int]]] = []
-        share, filled = -(-total // groups), None
-        for x in large:
-            n = counts[x]
-            while n:
-                if filled is None or filled == share:
-                    members.append([])
-                    filled = 0
-                now = min(n, share - filled)
-                members[-1].append([x, now])
-                filled += now
-                n -= now
-        sizes = [g[0][0] for g in members]
-        for column, often in _configurations(sizes, [sum(n for _, n in g) for g in members], limit):
-            bins = int(often + 1e-9)
-            slots = [g for g, n in enumerate(column) for _ in range(n)]
-            if not slots:
-                continue
-            # rounding may leave a group with fewer pieces than the configurations ask for
-            bins = min([bins, *(sum(n for _, n in members[g]) // slots.count(g) for g in set(slots))])
-            queues = []
-            for g in slots:
-                need, runs = bins, []
-                while need:
-                    x, n = members[g][0]
-                    now = min(n, need)
-                    runs.append((x, now))
-                    need -= now
-                    members[g][0][1] -= now
-                    if not members[g][0][1]:
-                        members[g].pop(0)
-                queues.append(runs)
-            done = 0
-            while done < bins:
-                now = min(q[0][1] for q in queues)
-                items = []
-                for q in queues:
-                    x, n = q.pop(0)
-                    if n > now:
-                        q.insert(0, (x, n - now))
-                    items.append(x)
-                done += now
-                if SLACK * limit < limit - sum(items) < limit // small:
-                    continue  # too little room for what comes, too much to lose: best-fitted instead
-                filled, first = 0, plan.new(now)
-                for x in items:
-                    plan.place(x, now, first, filled)
-                    left[x] -= now
-                    filled += x
+    plan, left = Plan(limit), {x: n for x, n in counts.items() if n}
+    if left.get(limit):
+        plan.place(limit, left[limit], plan.new(left[limit]), 0)
+        left[limit] = 0
+    large = sorted((x for x, n in left.items() if n and x > limit // small), reverse=True)
+    held = np.zeros(limit + 1, bool)
+    held[large] = True
+
+    def fill(slots: list[int], bins: int) -> None:
+        while bins:
+            took: dict[int, int] = defaultdict(int)
+            room = limit
+            for k, size in enumerate(slots):
+                upto = room if k == len(slots) - 1 else min(size, room)
+                x = upto - int(held[upto::-1].argmax())
+                if not held[x]:
+                    break
+                took[x] += 1
+                room -= x
+                held[x] = left[x] > took[x]
+            now = min([bins, *(left[x] // n for x, n in took.items())]) if sum(took.values()) == len(slots) else 0
+            if now:
+                first, filled = plan.new(now), 0
+                for x, n in took.items():
+                    for _ in range(n):
+                        plan.place(x, now, first, filled)
+                        left[x] -= now
+                        filled += x
                 plan.leave(now, first, filled)
+            for x in took:
+                held[x] = left[x] > 0
+            if not now:
+                return
+            bins -= now
+
+    found = sorted(_configurations(*_groups(left, large, groups), limit), reverse=True) if large else []
+    for slots, often in found:
+        fill(slots, int(often + 1e-9))
+    for slots, _ in sorted(found, key=lambda x: x[1] % 1, reverse=True):
+        fill(slots, 1)
+    plan.by_configuration = plan.placed()
     for x in sorted(left, reverse=True):
         if left[x]:
             plan.best_fit(x, left[x])

@@ -19,8 +19,8 @@ PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 #: Fixed value: scripts in which `regex` and the library class all characters alike; others are split by the library.
 PLAIN = r"[\x00-\u0557\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*"
 COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-#: Pre-tokens besides the whole tokens, and words, whose count a worker remembers.
-REMEMBERED = 600_000
+#: Pre-tokens besides the whole tokens, and words, whose count a worker remembers, and the length of the longest such.
+REMEMBERED, LONGEST = 600_000, 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -86,7 +86,7 @@ class Counter:
 
     def learned(self, pre_token: str) -> int:
         n = self.merged(pre_token)
-        if len(self.known) < len(self.whole) + REMEMBERED:
+        if len(self.known) < len(self.whole) + REMEMBERED and len(pre_token) <= LONGEST:
             self.known[pre_token] = n
         return n
 
@@ -118,7 +118,8 @@ class Counter:
                         found[new[at]] = 0
                     found[new[at]] += self.known.get(token) or self.learned(token)
             if len(self.by_word) < REMEMBERED:  # frequent words come early
-                self.by_word.update(found)
+                self.by_word.update((w, k) for w, k in found.items() if len(w) <= LONGEST)
+            if all(map(self.by_word.__contains__, found)):
                 return self._pre_tokens(first) + sum(map(self.by_word.__getitem__, words))
             return self._pre_tokens(first) + sum([found[w] if w in found else self.by_word[w] for w in words])
 
