@@ -1,18 +1,22 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, DataFrame operations only.
 
-A paragraph is a line, cut further at spaces after anything but most lower-case Latin letters (so after sentence ends, and
-after words that end in n) and after full-width punctuation: where a cut falls depends on the character before it only, so
-an edit changes the paragraphs that it touches and no others, and a text of one line has several.
-
-A paragraph's digest is added to one cell in each of three parts of a sketch: the cell counts its digests and keeps the
-exclusive or of them and of their check values. The difference of two sketches, cell by cell, holds only the digests
-that one text has and the other has not. Peeling takes a digest from each cell that holds just one, removes it from its
-other cells, and goes on; if cells remain in the end, a larger sketch of both texts is tried.
+A paragraph is a line, cut further at spaces after sentence ends and after words with certain last letters, and at
+full-width punctuation: whether a cut falls depends on the characters before it only, so an edit changes the paragraphs
+that it touches and no others, and a text of one line has several.
+
+A paragraph's digest is added to one cell in each of three parts of a sketch: the cell counts its digests and keeps their
+exclusive or; the low bits of a digest check its high ones. The difference of two sketches, cell by cell, holds only the
+digests that one text has and the other has not. Peeling takes a digest from each cell that holds just one, removes it from
+its other cells, and goes on; if cells remain in the end, a larger sketch of both texts is tried.
+
+A fingerprint has as many cells as its text asks for, a power of two a part, and folds to any smaller power of two, so
+two fingerprints of different sizes subtract too. Empty cells are neither kept nor written. All steps are sorts and
+passes over the cells, so the work is close to linear in a text's paragraphs.
 """
 
 from __future__ import annotations
 
-import math
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,13 +24,18 @@ from pyspark.sql import functions as F
 
 from sparkwell.llm.common import whole_text
 
-HASHES = 3
-#: Cells of a fingerprint, and of the sketches tried when it can't be peeled; beyond the last, digests are compared.
-LEVELS = (24, 96, 384, 1536)
+#: Bits of a digest at which its cell in each part is read; beyond 2^14 cells a part these bits overlap a little.
+SHIFTS = (20, 34, 48)
+#: Least cells of a part, and digests for each cell of a part in a fingerprint.
+LEAST, LOAD = 8, 2
+#: How often a larger sketch is tried, each four times the last; then the digests themselves are compared.
+RETRIES = 4
 #: Where a text is cut into paragraphs.
-CUTS = r"\n|(?<![a-mo-z]) |(?<=[\u3001\u3002\uff01\uff0c\uff1b\uff1f])"
+CUTS = r"[\n、。！，；？]| (?<=[.!?;:] |[ae]n )"
 #: Peeling passes over a sketch.
-ROUNDS = 14
+ROUNDS = 30
+#: Low bits of a digest that check the others.
+CHECK = 20
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -34,193 +43,243 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def runs(
+    ordered: Column, differs: Callable[[Column, Column], Column], body: Callable[[Column, Column, Column], Column]
+) -> Column:
+    """`body` (of the array, a run's place and its length) of each run of neighbours that do not differ, in order."""
+
+    def of(a):
+        heads = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | differs(F.get(a, i), F.get(a, i - 1)))
+        each = lambda h: F.transform(h, lambda b, j: body(a, b, F.coalesce(F.get(h, j + 1), F.size(a)) - b))
+        return F.when(F.size(a) > 0, let(heads, each))
+
+    return let(ordered, of)
+
+
+def _checked(hashed: Column) -> Column:
+    """A hash whose low CHECK bits are a hash of the others."""
+    high = F.shiftleft(F.shiftrightunsigned(hashed, CHECK), CHECK)
+    return high.bitwiseOR(_check(high))
+
+
+def _check(high: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(high), 64 - CHECK)
+
+
 def digests(text: Column) -> Column:
     """Ascending digests of the text's non-blank paragraphs; the n-th copy of a paragraph has its own digest."""
     own = F.transform(F.filter(F.split(text, CUTS, -1), lambda p: F.trim(p) != ""), lambda p: F.xxhash64(p))
-    numbered = lambda a: F.transform(a, lambda d, i: F.xxhash64(d, i - F.array_position(a, d)))
-    return F.array_sort(let(F.array_sort(own), numbered))
+    copies = lambda a, b, n: F.transform(F.slice(a, b + 1, n), lambda d, i: _checked(F.xxhash64(d, i)))
+    numbered = F.flatten(runs(F.sort_array(own), lambda x, y: x != y, copies))
+    return F.sort_array(F.coalesce(numbered, F.array().cast("array<bigint>")))
 
 
-def _check(digest: Column) -> Column:
-    return F.xxhash64(digest, F.lit(77)).bitwiseAND(F.lit(0xFFFFFFFF))
+def _shifted(x: Column, bits: Column) -> Column:
+    return F.call_function("shiftleft", x, bits)
 
 
-def _cell(digest: Column, part: int, cells: int) -> Column:
-    width = cells // HASHES
-    return F.pmod(F.shiftright(digest, 20 * part), F.lit(width)) + F.lit(part * width)
+def width(n: Column) -> Column:
+    """Cells of a part for so many digests."""
+    cells = F.greatest(F.ceil(n / F.lit(float(LOAD))), F.lit(LEAST))
+    return _shifted(F.lit(1).cast("long"), F.ceil(F.log2(cells.cast("double"))).cast("int"))
 
 
-def _add(cell: Column, n: Column, digest: Column, check: Column) -> Column:
-    return F.struct(
-        (cell["n"] + n).alias("n"),
-        cell["k"].bitwiseXOR(digest).alias("k"),
-        cell["c"].bitwiseXOR(check).alias("c"),
+def _cells(n: Column, key: Column, wide: Column) -> Column:
+    """n of a key as content (at, n, k) of its cell in every part; four times the cell and the part give `at`."""
+    part = lambda p: F.shiftrightunsigned(key, SHIFTS[p]).bitwiseAND(wide - 1).cast("int")
+    return F.array(
+        *[F.struct((F.shiftleft(part(p), 2) + p).alias("at"), n.alias("n"), key.alias("k")) for p in range(len(SHIFTS))]
     )
 
 
-def entries(keys: Column) -> Column:
-    """Each digest of an array as the content (n, k, c) of a cell that holds it alone."""
-    return F.transform(keys, lambda d: F.struct(F.lit(1).alias("n"), d.alias("k"), _check(d).alias("c")))
+def gathered(cells: Column) -> Column:
+    """Contents of the same cell added up, in order of the cells; empty cells go."""
 
+    def added(run):
+        return F.struct(
+            F.get(run, 0)["at"].alias("at"),
+            F.aggregate(run, F.lit(0), lambda s, x: s + x["n"]).alias("n"),
+            F.aggregate(run, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x["k"])).alias("k"),
+        )
 
-def sketch(held: Column, cells: int) -> Column:
-    """Array of `cells` structs (n, k, c) of an array of such structs, each added to its cell of every part.
+    body = lambda a, b, n: F.when(n == 1, F.get(a, b)).otherwise(let(F.slice(a, b + 1, n), added))
+    whole = runs(F.sort_array(cells), lambda x, y: x["at"] != y["at"], body)
+    held = F.filter(whole, lambda x: (x["n"] != 0) | (x["k"] != 0))
+    return F.coalesce(held, F.array().cast("array<struct<at:int,n:int,k:bigint>>"))
 
-    The entries are dealt to runs of about the square root of a part's cells before they are dealt to cells.
-    """
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
-    width = cells // HASHES
-    run = width if width <= 8 else math.isqrt(width - 1) + 1
 
-    def part(p):
-        first, end = p * width, (p + 1) * width
+def spread(keys: Column, wide: Column, n: int = 1) -> Column:
+    """What n of each key add to the cells."""
+    return F.flatten(F.transform(keys, lambda k: _cells(F.lit(n), k, wide)))
 
-        def fill(placed, start, stop):
-            return F.transform(
-                F.sequence(start, stop - F.lit(1)),
-                lambda at: F.aggregate(
-                    F.filter(placed, lambda x: x["at"] == at), zero, lambda cell, x: _add(cell, x["n"], x["k"], x["c"])
-                ),
-            )
 
-        def runs(placed):
-            if run == width:
-                return fill(placed, F.lit(first).cast("long"), F.lit(end).cast("long"))
-            within = lambda at: F.filter(placed, lambda x: (x["at"] >= at) & (x["at"] < at + run))
-            starts = F.sequence(F.lit(first).cast("long"), F.lit(end - 1).cast("long"), F.lit(run).cast("long"))
-            return F.flatten(
-                F.transform(starts, lambda at: let(within(at), lambda own: fill(own, at, F.least(at + run, F.lit(end)))))
-            )
+def sketch(keys: Column, wide: Column) -> Column:
+    """The occupied cells (at, n, k) of a sketch of the keys with `wide` cells a part, in order of `at`."""
+    return gathered(spread(keys, wide))
 
-        placed = F.transform(held, lambda x: F.struct(_cell(x["k"], p, cells).alias("at"), x["n"], x["k"], x["c"]))
-        return let(placed, runs)
 
-    return F.concat(*[part(p) for p in range(HASHES)])
+def folded(cells: Column, wide: Column) -> Column:
+    """Contents of the sketch's cells as they stand in a sketch with `wide` cells a part, a smaller power of two."""
+    keep = F.shiftleft(wide, 2).cast("int") - 1
+    return F.transform(cells, lambda x: F.struct(x["at"].bitwiseAND(keep).alias("at"), x["n"], x["k"]))
 
 
 def minus(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: _add(x, -y["n"], y["k"], y["c"]))
+    """The difference of two sketches' contents."""
+    return gathered(F.concat(a, F.transform(b, lambda x: F.struct(x["at"], (-x["n"]).alias("n"), x["k"]))))
 
 
-def peeled(difference: Column, cells: int) -> Column:
-    """(cells, pure, found): what remains of a difference, its cells of one digest, and the digests that were recovered."""
+def peeled(difference: Column, wide: Column) -> Column:
+    """How many digests a difference of sketches holds, by peeling; null if that gets stuck."""
 
-    def single(cell):
-        return (F.abs(cell["n"]) == 1) & (cell["c"] == _check(cell["k"]))
+    def single(x):
+        high = F.shiftleft(F.shiftrightunsigned(x["k"], CHECK), CHECK)
+        return (F.abs(x["n"]) == 1) & (x["k"].bitwiseAND(F.lit((1 << CHECK) - 1)) == _check(high))
 
-    def state(left, found):
-        return let(
-            left,
-            lambda x: F.struct(x.alias("cells"), F.array_distinct(F.filter(x, single)).alias("pure"), found.alias("found")),
-        )
+    def pure(cells):
+        """(k, n) of the digests that stand alone in a cell; they may do so in several."""
+        found = F.transform(F.filter(cells, single), lambda x: F.struct(x["k"], x["n"]))
+        return runs(F.sort_array(found), lambda x, y: x["k"] != y["k"], lambda a, b, _: F.get(a, b))
 
     def step(held, _):
-        found = F.concat(held["found"], F.transform(held["pure"], lambda p: p["k"]))
-        return F.when(
-            F.size(held["pure"]) > 0, state(minus(held["cells"], sketch(held["pure"], cells)), found)
-        ).otherwise(held)
-
-    start = state(difference, F.array().cast("array<bigint>"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
+        def taken(keys):
+            gone = F.flatten(F.transform(keys, lambda x: _cells(-x["n"], x["k"], wide)))
+            left = F.when(keys.isNotNull(), gathered(F.concat(held["cells"], gone))).otherwise(held["cells"])
+            found = held["found"] + F.coalesce(F.size(keys), F.lit(0))
+            return let(left, lambda c: F.struct(c.alias("cells"), found.alias("found"), (keys.isNotNull() & (F.size(c) > 0)).alias("on")))
 
+        return F.when(held["on"], let(pure(held["cells"]), taken)).otherwise(held)
 
-def differing(a: Column, b: Column, cells: int) -> Column:
-    """How many digests differ, by peeling sketches of so many cells; null if the peeling gets stuck."""
-    clear = lambda s: F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0))
-    return let(peeled(minus(sketch(entries(a), cells), sketch(entries(b), cells)), cells), lambda s: F.when(clear(s), F.size(s["found"])))
+    start = let(difference, lambda c: F.struct(c.alias("cells"), F.lit(0).alias("found"), (F.size(c) > 0).alias("on")))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
+    return let(end, lambda s: F.when(F.size(s["cells"]) == 0, s["found"]))
 
 
 def likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """`df` with the Jaccard likeness of the digest arrays `a` and `b`; 1 if both are empty.
+    """`df` with the Jaccard likeness of two texts, of which it has <name>_keys, <name>_wide and <name>_cells; 1 if both have no paragraph.
 
-    A sketch can only be peeled if it has more cells than digests differ, so sizes that the counts rule out are
-    skipped.
+    The fingerprints are subtracted at the smaller size. If they can't be peeled, larger sketches of both texts are;
+    a difference that occupies nearly all cells is too large to try.
     """
-    least = F.abs(F.size(a) - F.size(b))
+    keys = [F.col(f"{x}_keys") for x in (a, b)]
+    both = F.size(keys[0]) + F.size(keys[1])
+    wide = F.least(f"{a}_wide", f"{b}_wide")
+
+    def stored(difference):
+        hopeless = F.size(difference) > F.lit(0.9 * len(SHIFTS)) * wide
+        return F.when(~hopeless, peeled(difference, wide))
+
     d = f"__{name}"
-    df = df.withColumn(d, F.when(F.col(a) == F.col(b), F.lit(0)))
-    for cells in LEVELS:
-        own = F.when(least < cells, differing(F.col(a), F.col(b), cells))
-        df = df.withColumn(d, F.when(F.col(d).isNull(), own).otherwise(F.col(d)))
-    exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    both = F.size(a) + F.size(b)
-    found = F.coalesce(F.col(d), exact)
-    ratio = F.when(both == 0, F.lit(1.0)).otherwise((both - found) / (both + found))
+    of_fingerprints = let(minus(folded(F.col(f"{a}_cells"), wide), folded(F.col(f"{b}_cells"), wide)), stored)
+    df = df.withColumn(d, F.when(keys[0] == keys[1], F.lit(0)).otherwise(of_fingerprints))
+
+    def larger(found, i):
+        asked = _shifted(width(both), F.lit(2) * i)
+        retried = let(asked, lambda w: peeled(gathered(F.concat(spread(keys[0], w), spread(keys[1], w, -1))), w))
+        return F.when(found.isNull(), retried).otherwise(found)
+
+    exact = F.size(F.array_except(*keys)) + F.size(F.array_except(*reversed(keys)))
+    retries = F.aggregate(F.sequence(F.lit(0), F.lit(RETRIES - 1)), F.lit(None).cast("int"), larger)
+    df = df.withColumn(d, F.when(F.col(d).isNull(), F.coalesce(retries, exact)).otherwise(F.col(d)))
+    ratio = F.when(both == 0, F.lit(1.0)).otherwise((both - F.col(d)) / (both + F.col(d)))
     return df.withColumn(name, ratio.cast("double")).drop(d)
 
 
-def written(cells: Column) -> Column:
-    """A sketch as text: 16 bits of the count, the digests and the check value of each cell, in base64."""
+def written(cells: Column, wide: Column) -> Column:
+    """A sketch as text: its cells a part, then place, count (16 bits) and digests of each occupied cell in base64."""
     hexed = lambda x, n: F.lpad(F.hex(x), n, "0")
-    one = lambda c: F.concat(hexed(F.pmod(c["n"], F.lit(65536)).cast("long"), 4), hexed(c["k"], 16), hexed(c["c"], 8))
-    return F.replace(F.base64(F.unhex(F.array_join(F.transform(cells, one), ""))), F.lit("\r\n"), F.lit(""))
+    one = lambda c: F.concat(
+        hexed(c["at"].cast("long"), 8), hexed(c["n"].cast("long").bitwiseAND(F.lit(65535)), 4), hexed(c["k"], 16)
+    )
+    packed = F.replace(F.base64(F.unhex(F.array_join(F.transform(cells, one), ""))), F.lit("\r\n"), F.lit(""))
+    return F.concat_ws(":", wide.cast("string"), packed)
 
 
-def with_next(docs: DataFrame, parts_per_partition: int = 4) -> DataFrame:
-    """(doc_id, text, next_text): each row with the text of the next document by descending doc_id, the first after the last.
+def with_next(docs: DataFrame, computed: dict[str, Column], parts_per_partition: int = 4) -> DataFrame:
+    """doc_id, text and what `computed` gives of a row, and as next_<name> the same of the next document (and next_text).
 
-    Rows of one doc_id stand in order of their texts; rows without doc_id come last. doc_id ranges from approximate
-    quantiles make the order distributed: the first document of each range also goes to the range before it. The driver
-    gets two numbers for each range, whose number depends on the shuffle partitions only.
+    The next document is the one of the next lower doc_id; after the last one comes the first.
+
+    Rows of one doc_id stand in order of a hash of their texts; rows without doc_id come last. Ranges of (doc_id, hash)
+    make the order distributed: doc_ids are cut at approximate quantiles, and a doc_id that several quantiles fall on is
+    cut by the hash. The first document of each range also goes to the range before it. The driver gets a few numbers
+    for each range, whose number depends on the shuffle partitions only. Rows equal in doc_id and text share a range.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select("doc_id", key.alias("key"), whole_text().alias("text"))
+    rows = docs.select("doc_id", whole_text().alias("text"), key.alias("key"))
+    rows = rows.withColumn("spot", F.struct("key", F.xxhash64("text").alias("hash")))
     n = parts_per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = [i / n for i in range(1, n)]
-    bounds = sorted(set(rows.agg(F.percentile_approx("key", asked, 10_000)).first()[0] or []))
-    width = max(1, int(len(bounds) ** 0.5))
-    coarse = F.array(*[F.lit(x) for x in bounds[width - 1 :: width]]).cast("array<bigint>")
-    fine = F.array(*[F.lit(x) for x in bounds]).cast("array<bigint>")
-    below = lambda a: F.size(F.filter(a, lambda x: x <= F.col("key")))
-    rows = rows.withColumn("__block", below(coarse) * width)
-    part = F.col("__block") + below(F.slice(fine, F.col("__block") + 1, F.lit(width)))
+    often = Counter(rows.agg(F.percentile_approx("key", asked, 10_000)).first()[0] or [])
+    # the k-th of m cuts of one doc_id: an m-th of all hashes on each side
+    cuts = [(x, (k << 64) // m - (1 << 63)) for x, m in sorted(often.items()) for k in range(m)]
+    step = max(1, int(len(cuts) ** 0.5))
+    kind = "array<struct<key:bigint,hash:bigint>>"
+    bounds = lambda of: F.array(*[F.struct(F.lit(x).alias("key"), F.lit(h).alias("hash")) for x, h in of]).cast(kind)
+    below = lambda a: F.size(F.filter(a, lambda x: x <= F.col("spot")))
+    rows = rows.withColumn("__block", below(bounds(cuts[step - 1 :: step])) * step)
+    part = F.col("__block") + below(F.slice(bounds(cuts), F.col("__block") + 1, F.lit(step)))
     rows = rows.withColumn("part", part).drop("__block")
-    first = {r["part"]: r["head"] for r in rows.groupBy("part").agg(F.max("key").alias("head")).collect()}
+    heads = rows.groupBy("part", "key").agg(F.max("spot.hash").alias("hash")).groupBy("part")
+    first = {r["part"]: r["head"] for r in heads.agg(F.max(F.struct("key", "hash")).alias("head")).collect()}
     held = sorted(first)
+    names = ["text", *computed]
     if not held:
-        return rows.select("doc_id", "text", F.col("text").alias("next_text"))
+        for name, value in computed.items():
+            rows = rows.withColumn(name, value)
+        return rows.select("doc_id", *names, *[F.col(x).alias(f"next_{x}") for x in names])
     goes = {p: held[i + 1] if i + 1 < len(held) else held[0] for i, p in enumerate(held)}
     size = held[-1] + 1
-    heads = F.array(*[F.lit(first.get(p)) for p in range(size)]).cast("array<bigint>")
+    none = F.lit(None).cast("struct<key:bigint,hash:bigint>")
+    head = F.array(*[F.struct(F.lit(first[p][0]), F.lit(first[p][1])) if p in first else none for p in range(size)]).cast(kind)
     to = F.array(*[F.lit(goes.get(p)) for p in range(size)]).cast("array<int>")
     own = F.struct(F.col("part").alias("part"), F.lit(False).alias("guest"))
     guest = F.struct(F.get(to, F.col("part")).alias("part"), F.lit(True).alias("guest"))
-    seats = F.when(F.get(heads, F.col("part")) == F.col("key"), F.array(own, guest)).otherwise(F.array(own))
-    seated = rows.withColumn("seat", F.explode(seats)).select("doc_id", "key", "text", "seat.part", "seat.guest")
-    order = Window.partitionBy("part").orderBy("guest", F.col("key").desc(), "text")
-    return (
-        seated.withColumn("next_text", F.lead("text").over(order)).where(~F.col("guest")).select("doc_id", "text", "next_text")
-    )
+    seats = F.when(F.get(head, F.col("part")) == F.col("spot"), F.array(own, guest)).otherwise(F.array(own))
+    seated = rows.withColumn("seat", F.explode(seats)).select("doc_id", "spot", "text", "seat.part", "seat.guest")
+    seated = seated.repartition("part")
+    for name, value in computed.items():
+        seated = seated.withColumn(name, value)
+    order = Window.partitionBy("part").orderBy("guest", F.col("spot").desc(), "text")
+    after = [F.coalesce(F.lead(x).over(order), x).alias(f"next_{x}") for x in names]
+    return seated.select("doc_id", "guest", *names, *after).where(~F.col("guest")).drop("guest")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how like the first is to the second and the next text's.
 
     The edited text has its last floor(n_chars/2) code points replaced by as many from the start of the next document.
-    Null and empty texts have n_chars 0 and the fingerprint of no paragraph; a likeness of two such is 1. Repeated rows
-    follow one another in the order; an empty table gives no rows; extra columns are ignored.
+    Null and empty texts have n_chars 0 and the fingerprint of no paragraph; a likeness of two such is 1. A text too short
+    for a cut is one paragraph. Repeated rows follow one another in the order; an empty table gives no rows; extra columns
+    are ignored. Whole texts are read; a fingerprint is as long as its text has paragraphs.
     """
     half = F.floor(F.length("text") / 2).cast("int")
-    rows = with_next(docs).select(
-        "doc_id",
-        "text",
-        F.coalesce("next_text", "text").alias("next_text"),
-    )
+    sketched = {
+        "keys": digests(F.col("text")),
+        "wide": width(F.size("keys")),
+        "cells": sketch(F.col("keys"), F.col("wide")),
+    }
+    rows = with_next(docs, sketched).withColumnsRenamed({x: f"own_{x}" for x in sketched})
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
     rows = rows.withColumn("edited", edited)
     rows = rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        digests(F.col("text")).alias("own_keys"),
         digests(F.col("edited")).alias("edited_keys"),
-        digests(F.col("next_text")).alias("next_keys"),
+        *[f"{x}_{y}" for x in ("own", "next") for y in sketched],
     )
-    rows = rows.withColumn("fingerprint", written(sketch(entries(F.col("own_keys")), LEVELS[0])))
-    rows = rows.withColumn("edited_fingerprint", written(sketch(entries(F.col("edited_keys")), LEVELS[0])))
-    rows = likeness(rows, "own_keys", "edited_keys", "near_edited")
-    rows = likeness(rows, "own_keys", "next_keys", "near_next")
+    rows = rows.withColumn("edited_wide", width(F.size("edited_keys")))
+    rows = rows.withColumn("edited_cells", sketch(F.col("edited_keys"), F.col("edited_wide")))
+    rows = likeness(rows, "own", "edited", "near_edited")
+    rows = likeness(rows, "own", "next", "near_next")
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        written(F.col("own_cells"), F.col("own_wide")).alias("fingerprint"),
+        written(F.col("edited_cells"), F.col("edited_wide")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
     )
