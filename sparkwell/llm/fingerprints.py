@@ -216,7 +216,8 @@ def with_next(docs: DataFrame, computed: dict[str, Column], parts_per_partition:
     cuts = [(x, (k << 64) // m - (1 << 63)) for x, m in sorted(often.items()) for k in range(m)]
     step = max(1, int(len(cuts) ** 0.5))
     kind = "array<struct<key:bigint,hash:bigint>>"
-    bounds = lambda of: F.array(*[F.struct(F.lit(x).alias("key"), F.lit(h).alias("hash")) for x, h in of]).cast(kind)
+    place = lambda x, h: F.struct(F.lit(x).cast("long").alias("key"), F.lit(h).cast("long").alias("hash"))
+    bounds = lambda of: F.array(*[place(*x) for x in of]).cast(kind)
     below = lambda a: F.size(F.filter(a, lambda x: x <= F.col("spot")))
     rows = rows.withColumn("__block", below(bounds(cuts[step - 1 :: step])) * step)
     part = F.col("__block") + below(F.slice(bounds(cuts), F.col("__block") + 1, F.lit(step)))
@@ -232,7 +233,7 @@ def with_next(docs: DataFrame, computed: dict[str, Column], parts_per_partition:
     goes = {p: held[i + 1] if i + 1 < len(held) else held[0] for i, p in enumerate(held)}
     size = held[-1] + 1
     none = F.lit(None).cast("struct<key:bigint,hash:bigint>")
-    head = F.array(*[F.struct(F.lit(first[p][0]), F.lit(first[p][1])) if p in first else none for p in range(size)]).cast(kind)
+    head = F.array(*[place(*first[p]) if p in first else none for p in range(size)]).cast(kind)
     to = F.array(*[F.lit(goes.get(p)) for p in range(size)]).cast("array<int>")
     own = F.struct(F.col("part").alias("part"), F.lit(False).alias("guest"))
     guest = F.struct(F.get(to, F.col("part")).alias("part"), F.lit(True).alias("guest"))
