@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwell.llm.common import whole_text
+from sparkwell.llm.common import let, runs, whole_text
 
 #: Bits of a digest at which its cell in each part is read; beyond 2^14 cells a part these bits overlap a little.
 SHIFTS = (20, 34, 48)
@@ -38,24 +38,6 @@ ROUNDS = 30
 CHECK = 20
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
-def runs(
-    ordered: Column, differs: Callable[[Column, Column], Column], body: Callable[[Column, Column, Column], Column]
-) -> Column:
-    """`body` (of the array, a run's place and its length) of each run of neighbours that do not differ, in order."""
-
-    def of(a):
-        heads = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | differs(F.get(a, i), F.get(a, i - 1)))
-        each = lambda h: F.transform(h, lambda b, j: body(a, b, F.coalesce(F.get(h, j + 1), F.size(a)) - b))
-        return F.when(F.size(a) > 0, let(heads, each))
-
-    return let(ordered, of)
-
-
 def _checked(hashed: Column) -> Column:
     """A hash whose low CHECK bits are a hash of the others."""
     high = F.shiftleft(F.shiftrightunsigned(hashed, CHECK), CHECK)

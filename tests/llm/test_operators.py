@@ -242,9 +242,9 @@ def test_decontamination(spark):
     ]
     df = spark.createDataFrame([(*x, 0) for x in rows], "doc_id long, text string, item_id int")
     found = {(r["doc_id"], r["item_id"]): r["same_slots"] for r in collected(decontamination.leaks(df, spark.createDataFrame(BENCH, "item_id long, text string")))}
-    assert found == {(1, 2): True, (2, 1): False, (8, 2): True, (9, 2): True, (10, 2): True}
+    assert found == {(1, 2): True, (2, 1): False, (6, 1): True, (7, 3): True, (8, 2): True, (9, 2): True, (10, 2): True}
     clean = decontamination.decontaminated(df, spark.createDataFrame(BENCH, "item_id long, text string"))
-    assert clean.columns == df.columns and sorted(r.doc_id for r in clean.collect()) == [3, 4, 5, 6, 7]
+    assert clean.columns == df.columns and sorted(r.doc_id for r in clean.collect()) == [3, 4, 5]
 
 
 def test_main_text(spark):
@@ -397,27 +397,70 @@ def brute_leaks(docs, items, window=8, cover=0.5, literal=4):
     made = {i: py_template(t) for i, t in items}
     for d, text in docs:
         raw, template = py_template(text)
-        at = defaultdict(list)
-        for k in range(len(template) - window + 1):
-            at[tuple(template[k : k + window])].append(k)
         for i, (iraw, itemplate) in made.items():
-            shifts = defaultdict(set)
-            for k in range(len(itemplate) - window + 1):
-                own = itemplate[k : k + window]
-                if sum(t not in "#@%" for t in own) >= literal:
-                    for p in at.get(tuple(own), ()):
-                        shifts[p - k] |= set(range(k, k + window))
-            covered, same = set(), True
-            for shift, places in shifts.items():
-                slots = {(itemplate[p], iraw[p], raw[p + shift]) for p in places if itemplate[p] in "#@%"}
-                if len({s[:2] for s in slots}) == len(slots):
-                    covered |= places
-                    same &= all(a == b for _, a, b in slots)
-            if covered and len(covered) >= cover * len(itemplate):
-                found[d, i] = (len(covered), len(itemplate), same)
+            w = min(window, len(iraw))
+            starts = range(len(iraw) - w + 1) if w else ()
+            good = [k for k in starts if sum(t not in "#@%" for t in itemplate[k : k + w]) >= literal]
+            if not good and len(iraw) < literal and len(raw) != len(iraw):
+                continue
+            iwords, words = [x.lower() for x in iraw], [x.lower() for x in raw]
+            shifts = defaultdict(list)
+            for k in good or starts:
+                for p in range(len(raw) - w + 1):
+                    by_words = (not good or len(iraw) < window) and words[p : p + w] == iwords[k : k + w]
+                    if by_words or (good and template[p : p + w] == itemplate[k : k + w]):
+                        shifts[p - k].append(k)
+            places = {}
+            for shift, at in shifts.items():
+                slot = {p: (itemplate[p], iraw[p], raw[p + shift]) for k in at for p in range(k, k + w) if good and itemplate[p] in "#@%"}
+                votes = defaultdict(lambda: defaultdict(int))
+                for kind_, asked, held in slot.values():
+                    votes[kind_, asked][held] += 1
+                won = {x: min(v, key=lambda h, v=v, x=x: (-v[h], x[1] != h, h)) for x, v in votes.items()}
+                for k in at:
+                    own = [slot[p] for p in range(k, k + w) if p in slot]
+                    if all(won[x[:2]] == x[2] for x in own):
+                        for p in range(k, k + w):
+                            places[p] = places.get(p, True) and all(x[1] == x[2] for x in own)
+            if places and len(places) >= cover * len(iraw):
+                found[d, i] = (len(places), len(iraw), all(places.values()))
     return found
 
 
+def test_short_items_and_slots(spark):
+    """Items shorter than a window, of placeholders only, of one word; a value that stands for two in the document."""
+    items = [
+        (1, "What is two plus two?"), (2, "12 34 56 78 90"), (3, "Yes"), (4, "2 apples and seven ripe figs were lying on the big table near the door, then 2 pears and some old plums"),
+        (5, ""), (6, None), (7, "Add 3 and 4 now please"), (7, "Add 3 and 4 now please"), (8, "!!"),
+    ]
+    texts = [
+        "He asked: what is two plus two? Nobody knew.", "codes 12 34 56 78 90 end", "codes 12 34 56 78 91 end", "yes!", "Yes, of course", None, "",
+        "There 2 apples and seven ripe figs were lying on the big table near the door, then 3 pears and some old plums today",
+        "There 5 apples and seven ripe figs were lying on the big table near the door, then 5 pears and some old plums",
+        "Add 30 and 41 now please", "x " * 9000 + "What is two plus two" + " y" * 5000,
+    ]
+    texts += [" ".join(["z"] * n) + " what is two plus two" for n in (4090, 4091, 4092, 4095, 4096)]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.covered, x.item_tokens, x.same_slots) for x in decontamination.leaks(df, bench).collect()}
+    assert got == brute_leaks(docs, items)
+    assert {k: v[2] for k, v in got.items()} == {
+        (0, 1): True, (1, 2): True, (3, 3): True, (7, 4): True, (8, 4): False, (9, 7): False, **{(k, 1): True for k in range(10, 16)},
+    }
+
+
+def test_benchmarks_of_several_passes(spark, monkeypatch):
+    df, bench = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = sorted(decontamination.leaks(df, bench).collect())
+    monkeypatch.setattr(decontamination, "BLOCK", 200)
+    monkeypatch.setattr(decontamination, "FEW", 1)
+    assert sorted(decontamination.leaks(df, bench).collect()) == whole and whole
+    ids = {x.doc_id for x in whole}
+    kept = [x.doc_id for x in decontamination.decontaminated(df, bench).collect()]
+    assert len(kept) == df.count() - len(ids) and not ids & set(kept)
+
+
 def test_decontamination_is_brute_force(spark):
     df, bench = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
     items = [(r.item_id, r.text) for r in bench.collect()]
