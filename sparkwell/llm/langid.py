@@ -17,6 +17,8 @@ ORDERS = (1, 2, 3)
 SAMPLE_PER_LANGUAGE = 2_000
 SPARE = 1.25
 UNDETERMINED = "und"
+#: Posterior probability below which a filter rejects a text.
+LEAST_SCORE = 0.5
 #: Code points of a text that are featurised at once.
 PIECE = 1 << 20
 
@@ -57,17 +59,61 @@ class Model:
     log_prior: np.ndarray
     log_prob: np.ndarray
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not any(map(str.isalpha, text)):
-            return UNDETERMINED, 0.0
-        score = self.log_prior.copy()
-        for ids in grams(text):
-            score += np.bincount(ids, minlength=BUCKETS) @ self.log_prob if len(ids) > BUCKETS else self._sum(ids)
-        best = int(score.argmax())  # the first of equals
-        return self.languages[best], float(1.0 / np.exp(score - score[best]).sum())
+    def scores(self, counts: Counts) -> np.ndarray:
+        """The log joint probability of every text of a batch in every language: sparse counts times the matrix."""
+        out = np.tile(self.log_prior, (len(counts.starts) - 1, 1))
+        held = np.flatnonzero(np.diff(counts.starts))
+        if len(held):
+            for k in range(len(self.languages)):
+                weighted = counts.times * self.log_prob[counts.buckets, k].astype(np.float64)
+                out[held, k] += np.add.reduceat(weighted, counts.starts[held])
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The best language of each text and its posterior probability; `und` and 0 for a text without a letter."""
+        known = [bool(t) and bool(self.languages) and any(map(str.isalpha, t)) for t in texts]
+        out = [(UNDETERMINED, 0.0)] * len(texts)
+        at = 0
+        while at < len(texts):  # as many texts as fill a piece
+            upto, size = at, 0
+            while upto < len(texts) and (upto == at or size + len(texts[upto] or "") <= PIECE):
+                size += len(texts[upto] or "") if known[upto] else 0
+                upto += 1
+            rows = [i for i in range(at, upto) if known[i]]
+            score = self.scores(count_batch([texts[i] for i in rows]))
+            best = score.argmax(axis=1)  # the first of equals
+            share = 1.0 / np.exp(score - score[np.arange(len(rows)), best][:, None]).sum(axis=1)
+            for i, k, p in zip(rows, best.tolist(), share.tolist(), strict=True):
+                out[i] = self.languages[k], p
+            at = upto
+        return out
+
 
-    def _sum(self, ids: np.ndarray) -> np.ndarray:
-        return self.log_prob.take(ids, axis=0).sum(axis=0, dtype=np.float64)
+@dataclass(frozen=True)
+class Counts:
+    """Sparse rows: row i has `times` of `buckets` from starts[i] to starts[i + 1]."""
+
+    starts: np.ndarray
+    buckets: np.ndarray
+    times: np.ndarray
+
+
+def count_batch(texts: list[str]) -> Counts:
+    """How often each text has each bucket; a text of several pieces is counted piece by piece."""
+    keys, held, seen = [], 0, [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for i, text in enumerate(texts):
+        for ids in grams(text):
+            keys.append(ids.astype(np.uint64) | np.uint64(i << 16))
+            held += len(ids)
+            if held > 4 * PIECE:
+                seen.append(np.unique(np.concatenate(keys), return_counts=True))
+                keys, held = [], 0
+    if keys:
+        seen.append(np.unique(np.concatenate(keys), return_counts=True))
+    found = np.concatenate([k for k, _ in seen])
+    rows = (found >> np.uint64(16)).astype(np.int64)
+    starts = np.searchsorted(rows, np.arange(len(texts) + 1))
+    return Counts(starts, (found & np.uint64(BUCKETS - 1)).astype(np.int64), np.concatenate([n for _, n in seen]))
 
 
 def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, alpha: float = 0.5) -> Model:
@@ -124,14 +170,16 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, alpha: f
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score (the prediction's posterior probability) of every row, from its whole text only.
 
-    `und` with score 0 if the text is null or has no letter. The matrix is broadcast; its size is fixed by BUCKETS
-    and the number of languages. No shuffle; repeated rows are predicted each; extra columns are not read.
+    `und` with score 0 if the text is null or has no letter, or if nothing was learned. Texts are scored in batches: their
+    n-grams' counts as sparse rows, times the matrix. The matrix is broadcast; its size is fixed by BUCKETS and the number
+    of languages. No shuffle; repeated rows are predicted each; very long texts are counted in pieces; an empty table
+    gives no rows; extra columns are not read.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shipped.value.predict(t.as_py()) for t in batch.column(1)]
+            found = shipped.value.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -150,14 +198,31 @@ def is_held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of `docs`, unchanged, whose whole text has a determined language; the others go."""
+def identified(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of `docs` whose whole text has a determined language; null `lang` becomes the prediction.
+
+    Rejected are null texts, texts without a letter, and texts whose best language has a posterior below `least`, so no
+    language is likelier than the others together. Where the model has learned nothing, every text with a letter stays
+    as it is. Columns, repeated rows and all other values are kept; an empty table stays empty; `lang` may be missing.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
+    lang = docs.columns.index("lang") if ("lang", "string") in docs.dtypes else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shipped.value.predict(t.as_py())[0] != UNDETERMINED for t in batch.column(at)]
-            yield batch.filter(pa.array(found, pa.bool_()))
+            texts = batch.column(at).to_pylist()
+            if shipped.value.languages:
+                found = shipped.value.predict(texts)
+                kept = [x != UNDETERMINED and score >= least for x, score in found]
+            else:
+                found = [(None, 0.0)] * len(texts)
+                kept = [bool(t) and any(map(str.isalpha, t)) for t in texts]
+            if lang is not None:
+                known = batch.column(lang)
+                filled = pa.array([y if y is not None else x for y, (x, _) in zip(known.to_pylist(), found, strict=True)], known.type)
+                columns = [filled if i == lang else c for i, c in enumerate(batch.columns)]
+                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

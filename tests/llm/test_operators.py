@@ -197,6 +197,53 @@ def test_language_of_odd_texts(docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(20)) - {0, 1, 2, 17}
 
 
+def test_batches_are_scored_as_by_plain_naive_bayes(monkeypatch):
+    """Character n-grams counted one by one in a dictionary, with the same hash, against the sparse batches."""
+    r = random.Random(7)
+    model = langid.Model(("de", "en"), np.log([0.25, 0.75]), np.log(np.random.default_rng(1).random((langid.BUCKETS, 2)) + 0.1).astype(np.float32))
+    texts = ["a", "Ab c", "é😀 ñandú", "x" * 50, *(prose(r, r.randint(1, 80)) for _ in range(30)), None, "", "12 3"]
+
+    def bucket(gram):
+        mask, mixed = (1 << 32) - 1, 0
+        for c in gram:
+            mixed = (mixed * 0x01000193 & mask) ^ (ord(c) * 0x9E3779B1 & mask)
+        h = mixed ^ (mixed >> 15) ^ (len(gram) * 0x85EBCA6B & mask)
+        return (h * 0xC2B2AE35 & mask) >> 16
+
+    want = []
+    for t in texts:
+        shown = "".join(c if c.isalpha() else " " for c in (t or "").lower())
+        if not shown.strip():
+            want.append(("und", 0.0))
+            continue
+        score = [float(x) for x in model.log_prior]
+        for n in langid.ORDERS:
+            for at in range(len(shown) - n + 1):
+                for k in range(2):
+                    score[k] += float(model.log_prob[bucket(shown[at : at + n]), k])
+        best = max(range(2), key=lambda k: score[k])
+        want.append((model.languages[best], 1 / sum(np.exp(x - score[best]) for x in score)))
+    for piece in (langid.PIECE, 40):  # texts of several pieces, batches of few texts
+        monkeypatch.setattr(langid, "PIECE", piece)
+        got = model.predict(texts)
+        assert [x for x, _ in got] == [x for x, _ in want]
+        assert np.allclose([x for _, x in got], [x for _, x in want], atol=1e-9)
+
+
+def test_nothing_learned_keeps_letters_and_null_languages_are_filled(spark):
+    kind = "doc_id long, text string, lang string, score double"
+    rows = [(1, "the river ran", None, 0.0), (None, "und so weiter", None, 0.0), (3, "12", None, 0.0), (4, None, None, 0.0)]
+    df = spark.createDataFrame(rows, kind)
+    model = langid.train(df)
+    assert model.languages == () and {r.text for r in langid.identified(df, model).collect()} == {rows[0][1], rows[1][1]}
+    table = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = langid.train(table)
+    shown = table.where("length(text) > 200").withColumn("told", table.lang).withColumn("lang", __import__("pyspark").sql.functions.lit(None).cast("string"))
+    got = langid.identified(shown, model).collect()
+    assert len(got) == shown.count() and sum(r.lang == r.told for r in got) > 0.98 * len(got)
+    assert langid.identified(shown.limit(0), model).count() == 0 and langid.identified(shown.drop("lang"), model).columns == [c for c in shown.columns if c != "lang"]
+
+
 def test_token_counts_are_the_librarys(docs):
     path = tokenizer_file("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
