@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +28,11 @@ INLINE = frozenset(
 #: An opening tag on the left ends open elements on the right, up to an element of STOPS.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = frozenset("ul ol dl table td th body article section main div nav aside form select html".split())
+#: What opening tags end: an open p, for some tags others too. By which of these an opening tag goes, and for each tag that
+#: matters, whether an element of it is ended (True), guards what is outside it (False) or neither (None), by each of them.
+ENDED = [frozenset("p")] + [frozenset(x) | {"p"} for x in ({"li"}, {"dt", "dd"}, {"tr", "td", "th"}, {"td", "th"}, {"option"})]
+ENDS_BY = {t: ENDED.index(frozenset(x) | {"p"}) for t, x in ENDS.items()}
+ROLE = {t: tuple(True if t in x else False if t in STOPS else None for x in ENDED) for t in STOPS.union(*ENDED)}
 TAGS = (
     "p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd td th tr table div section article main nav header footer aside form button label"
     " select option textarea fieldset figure figcaption blockquote pre address details summary dialog menu html body"
@@ -43,7 +49,7 @@ _TAG_AT = {t: i for i, t in enumerate(TAGS)}
 _NAME_AT = {t: i for i, t in enumerate(NAMES)}
 _PIECES = re.compile(
     r"(?is)<!--.*?(?:-->|\Z)|<(" + "|".join(SKIPPED) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|</?[a-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)"
+    r"|</?[a-z](?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*(?:>|\Z)"
 )
 _TAG = re.compile(r"(?s)<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(.*)")
 _ATTRIBUTE = re.compile(r"(?is)\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
@@ -52,15 +58,21 @@ _BODY = re.compile(r"(?i)<body\b")
 
 
 class Element:
-    """A block-level element: what it holds in order (strings and elements) and what its tag says."""
+    """A block-level element: what it holds in order (strings and elements) and what its tag says.
 
-    __slots__ = ("at", "depth", "holds", "names", "parent", "tag")
+    ended holds, for each of ENDED, the nearest open element that it ends, this one or one around it.
+    """
+
+    __slots__ = ("at", "depth", "ended", "holds", "names", "parent", "tag")
 
     def __init__(self, tag: str, names: list[str], parent: Element | None):
         self.tag, self.names, self.parent = tag, names, parent
         self.depth = parent.depth + 1 if parent else 0
         self.holds: list = []
         self.at = -1
+        self.ended: tuple[Element | None, ...] = parent.ended if parent else (None,) * len(ENDED)
+        if parent and (role := ROLE.get(tag)):
+            self.ended = tuple(self if r else None if r is False else x for r, x in zip(role, self.ended, strict=True))
 
 
 LINK, END = "\x00", "\x01"  # around a link's text while a page is parsed
@@ -72,7 +84,16 @@ def parse(page: str) -> Element:
         page = page[body.start() :]
     page = page.replace(LINK, " ").replace(END, " ")
     root = node = Element("html", [], None)
-    at, skip_names = 0, []
+    at, skip_names, is_open = 0, [], Counter()
+
+    def outside(up: Element) -> Element:
+        """The element around `up`; `up` and all in it are closed, each once."""
+        inner = node
+        while inner is not up.parent:
+            is_open[inner.tag] -= 1
+            inner = inner.parent
+        return inner
+
     for m in _PIECES.finditer(page):
         if m.start() > at:
             node.holds.append(page[at : m.start()])
@@ -86,24 +107,16 @@ def parse(page: str) -> Element:
             node.holds.append((END if closing else LINK) if tag == "a" else " " if tag in ("br", "img") else "")
             continue
         if closing:
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+            if is_open[tag] > 0:
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = outside(up)
             continue
         if tag in ("html", "body"):
             continue
-        ends = ENDS.get(tag)
-        up = node
-        while up.parent is not None and up.tag not in STOPS - (ends or set()):
-            if up.tag == "p" or (ends and up.tag in ends):
-                node = up.parent
-                break
-            up = up.parent
-        else:
-            if ends and up.tag in ends and up.parent is not None:
-                node = up.parent
+        if (up := node.ended[ENDS_BY.get(tag, 0)]) is not None:
+            node = outside(up)
         names = skip_names
         if "=" in rest and (found := _ATTRIBUTE.findall(rest)):
             names = [w.lower() for x in found for w in _WORD.findall(" ".join(x))]
@@ -111,6 +124,7 @@ def parse(page: str) -> Element:
             node.holds.append(" ")
             continue
         child = Element(tag, names, node)
+        is_open[tag] += 1
         node.holds.append(child)
         node = child
     if at < len(page):
@@ -162,14 +176,16 @@ def blocks(root: Element) -> list[tuple[Element, str, int]]:
     return out
 
 
+#: Elements that are scored at once (a row is some 190 numbers of four bytes).
+NODES = 20_000
 #: Features after the tags' and names' own, the parent's tag and the names of all ancestors.
 MEASURES = 12
 
 
-def features(found: list[Element], parts: list[tuple[Element, str, int]]) -> np.ndarray:
-    """A row for each element: tag, attribute tokens, depth, siblings, and density of its subtree."""
-    n, tags, names = len(found), len(TAGS), len(NAMES)
-    own = np.zeros((n, 2 * tags + names + MEASURES), np.float32)
+def measures(found: list[Element], parts: list[tuple[Element, str, int]]) -> np.ndarray:
+    """Depth, siblings and the density of the subtree, a row for each element of a page."""
+    n = len(found)
+    m = np.zeros((n, MEASURES), np.float32)
     chars, linked, marks, runs, below = (np.zeros(n) for _ in range(5))
     direct = np.zeros(n)
     for e, text, links in parts:
@@ -186,22 +202,14 @@ def features(found: list[Element], parts: list[tuple[Element, str, int]]) -> np.
             marks[p] += marks[e.at]
             runs[p] += runs[e.at]
             below[p] += below[e.at] + 1
-    m = own[:, 2 * tags + names :]
     for e in found:
-        i = e.at
-        if (t := _TAG_AT.get(e.tag)) is not None:
-            own[i, t] = 1
-        for w in e.names:
-            if (t := _NAME_AT.get(w)) is not None:
-                own[i, 2 * tags + t] = 1
-        if e.parent is not None and (t := _TAG_AT.get(e.parent.tag)) is not None:
-            own[i, tags + t] = 1
         children = [x for x in e.holds if isinstance(x, Element)]
+        alike = Counter(x.tag for x in children)
         for k, c in enumerate(children):
             m[c.at, 6] = len(children)
             m[c.at, 7] = k / len(children)
-            m[c.at, 8] = sum(1 for x in children if x.tag == c.tag) if len(children) < 64 else 64
-        m[i, 5] = min(e.depth, 30)
+            m[c.at, 8] = alike[c.tag]
+        m[e.at, 5] = min(e.depth, 30)
     total = max(1.0, chars[0])
     m[:, 0] = np.log1p(chars)
     m[:, 1] = linked / np.maximum(1, chars)
@@ -211,6 +219,22 @@ def features(found: list[Element], parts: list[tuple[Element, str, int]]) -> np.
     m[:, 9] = chars / total
     m[:, 10] = np.log1p(direct)
     m[:, 11] = np.log1p(chars / (1 + below))
+    return m
+
+
+def features(found: list[Element], measured: np.ndarray) -> np.ndarray:
+    """A row for each element: its tag, its parent's, its attribute tokens, and what was measured."""
+    tags, names = len(TAGS), len(NAMES)
+    own = np.zeros((len(found), 2 * tags + names + MEASURES), np.float32)
+    for i, e in enumerate(found):
+        if (t := _TAG_AT.get(e.tag)) is not None:
+            own[i, t] = 1
+        for w in e.names:
+            if (t := _NAME_AT.get(w)) is not None:
+                own[i, 2 * tags + t] = 1
+        if e.parent is not None and (t := _TAG_AT.get(e.parent.tag)) is not None:
+            own[i, tags + t] = 1
+    own[:, 2 * tags + names :] = measured
     return own
 
 
@@ -391,27 +415,40 @@ def model() -> Trees:
         main = np.array([k in good for k in keys])
         main[0] = True
         asked = np.array([e.parent is not None and main[e.parent.at] for e in found])
-        xs.append(features(found, blocks(root))[asked])
+        xs.append(features(found, measures(found, blocks(root)))[asked])
         ys.append(main[asked].astype(float))
     return Trees().fit(np.concatenate(xs), np.concatenate(ys))
 
 
-def main_text(pages: list[str | None], trees: Trees) -> list[str]:
-    """The main text of each page."""
-    parsed = []
+def main_text(pages: list[str | None], trees: Trees, nodes: int = NODES) -> list[str]:
+    """The main text of each page. Pages are held parsed until they have `nodes` elements, and so many are scored at once."""
+    out: list[str] = []
+    held: list[tuple[list[Element], list[tuple[Element, str, int]]]] = []
+    count = 0
+
+    def finish() -> None:
+        every = [e for found, _ in held for e in found]
+        measured = np.concatenate([measures(found, parts) for found, parts in held])
+        steps = range(0, len(every), nodes)
+        odds = np.concatenate([trees.score(features(every[i : i + nodes], measured[i : i + nodes])) for i in steps])
+        at = 0
+        for found, parts in held:
+            own = odds[at : at + len(found)].copy()
+            at += len(found)
+            own[0] = 0.0
+            kept = decode(found, own)
+            out.append("\n".join(text for e, text, _ in parts if kept[e.at]))
+        held.clear()
+
     for page in pages:
         root = parse(page or "")
-        parsed.append((elements(root), blocks(root)))
-    if not parsed:
-        return []
-    odds = trees.score(np.concatenate([features(found, parts) for found, parts in parsed]))
-    out, at = [], 0
-    for found, parts in parsed:
-        own = odds[at : at + len(found)].copy()
-        at += len(found)
-        own[0] = 0.0
-        kept = decode(found, own)
-        out.append("\n".join(text for e, text, _ in parts if kept[e.at]))
+        held.append((elements(root), blocks(root)))
+        count += len(held[-1][0])
+        if count >= nodes:
+            finish()
+            count = 0
+    if held:
+        finish()
     return out
 
 
@@ -419,8 +456,9 @@ def extract(pages: DataFrame, group: int = 200) -> DataFrame:
     """page_id, url, text and n_chars (code points of text) of every page, from its whole html.
 
     Null and empty pages and pages without main text have an empty text. Repeated rows are extracted each, an empty
-    table gives no rows, extra columns are not read. The trees are trained on the driver and broadcast (some hundred
-    numbers a tree); pages are parsed in groups of `group`, without a shuffle.
+    table gives no rows, extra columns are not read. Very long pages are parsed in one pass and scored NODES elements at
+    a time. The trees are trained on the driver and broadcast (some hundred numbers a tree); pages are taken `group` at a
+    time, without a shuffle.
     """
     shipped = pages.sparkSession.sparkContext.broadcast(model())
 

@@ -308,6 +308,57 @@ def test_main_text(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got) and [r["text"] for r in got if r["page_id"] in (2, 3)] == ["", ""]
 
 
+def plain_measures(e, parts, total, depth=0, place=0.0, siblings=(0, 0)):
+    """The same numbers by walking each subtree anew."""
+    inside, stack = [], [e]
+    while stack:
+        x = stack.pop()
+        inside.append(x)
+        stack += [c for c in x.holds if not isinstance(c, str)]
+    own = [(x, text, links) for x, text, links in parts if any(x is y for y in inside)]
+    chars, links = sum(len(t) for _, t, _ in own), sum(k for _, _, k in own)
+    marks = sum(t.count(c) for _, t, _ in own for c in ".,?!")
+    direct = sum(len(t) for x, t, _ in own if x is e)
+    below = len(inside) - 1
+    row = [np.log1p(chars), links / max(1, chars), 100 * marks / max(1, chars), np.log1p(chars / max(1, len(own))), np.log1p(below), min(depth, 30)]
+    row += [siblings[0], place, siblings[1], chars / total, np.log1p(direct), np.log1p(chars / (1 + below))]
+    out = {id(e): row}
+    children = [c for c in e.holds if not isinstance(c, str)]
+    for k, c in enumerate(children):
+        alike = sum(x.tag == c.tag for x in children)
+        out |= plain_measures(c, parts, total, depth + 1, k / len(children), (len(children), alike))
+    return out
+
+
+def test_measures_are_a_plain_tree_walk(spark):
+    pages = [html_text.example_page(seed)[0] for seed in range(30)]
+    pages += [r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
+    pages.append("<article>" + "<p>One line, so.</p>" * 99 + "<aside>Odd <a href=x>one</a></aside></article>")  # 100 children
+    for page in pages:
+        root = html_text.parse(page)
+        found, parts = html_text.elements(root), html_text.blocks(root)
+        want = plain_measures(root, parts, max(1, sum(len(t) for _, t, _ in parts)))
+        assert np.allclose(html_text.measures(found, parts), [want[id(e)] for e in found], rtol=1e-5)
+    assert html_text.measures(found, parts)[-1, 8] == 1 and html_text.measures(found, parts)[-2, 8] == 99
+
+
+def test_pages_score_alike_in_any_portions(spark):
+    pages = [r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").limit(20).collect()] + [None, "", "<p>x" * 300]
+    trees = html_text.model()
+    whole = html_text.main_text(pages, trees)
+    assert html_text.main_text(pages, trees, 7) == whole and html_text.main_text([], trees) == []
+
+
+def test_broken_markup():
+    trees = html_text.model()
+    prose_ = "One two three, four five six seven eight nine."
+    broken = f'<article><h1>A</h1><p>{prose_}</p><p class="abc>Two more words, and here they are.</p></article>'
+    assert html_text.main_text([broken], trees) == [f"A\n{prose_}\nTwo more words, and here they are."]
+    assert html_text.main_text([f"<article><p title=it's>{prose_}</p><p>It's so, said he.</p>"], trees) == [f"{prose_}\nIt's so, said he."]
+    for page in ("<x1>" * 30_000 + "<p>text", "<p>" * 30_000, "</div>" * 30_000 + "<li>" * 30_000, "<td" * 30_000, '<a b="' * 20_000):
+        assert len(html_text.main_text([page], trees)) == 1  # linear, so soon
+
+
 def test_main_text_of_table_pages(spark):
     import html as h
 
