@@ -1,8 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, DataFrame operations only.
 
-A paragraph is a line, cut further at spaces after sentence ends and after words with certain last letters, and at
-full-width punctuation: whether a cut falls depends on the characters before it only, so an edit changes the paragraphs
-that it touches and no others, and a text of one line has several.
+A paragraph is a line, cut further at sentence ends and word boundaries that the letters next to them choose: whether a cut
+falls depends on three characters only, so an edit changes the paragraphs that it touches and no others, and a text of one
+line has several.
 
 A paragraph's digest is added to one cell in each of three parts of a sketch: the cell counts its digests and keeps their
 exclusive or; the low bits of a digest check its high ones. The difference of two sketches, cell by cell, holds only the
@@ -24,16 +24,19 @@ from pyspark.sql import functions as F
 
 from sparkwell.llm.common import let, runs, whole_text
 
-#: Bits of a digest at which its cell in each part is read; beyond 2^14 cells a part these bits overlap a little.
-SHIFTS = (20, 34, 48)
+#: Parts of a sketch; a digest's cell is read at other bits for each (beyond 2^14 cells these overlap a little).
+PARTS = 3
+CELLS = "array<struct<at:int,n:int,k:bigint>>"
 #: Least cells of a part, and digests for each cell of a part in a fingerprint.
 LEAST, LOAD = 8, 2
-#: How often a larger sketch is tried, each four times the last; then the digests themselves are compared.
-RETRIES = 4
+#: Least digests from which the size of a difference is guessed.
+GUESS = 16
+#: How many sizes of sketches are tried; then the digests themselves are compared.
+TRIES = 4
 #: Where a text is cut into paragraphs.
-CUTS = r"[\n、。！，；？]| (?<=[.!?;:] |[ae]n )"
-#: Peeling passes over a sketch.
-ROUNDS = 30
+CUTS = r"[\n。！？]| (?=(?<=[.!?] )[A-F]|(?<=n )[a-h])"
+#: Turns of the parts in peeling.
+TURNS = 90
 #: Low bits of a digest that check the others.
 CHECK = 20
 
@@ -61,21 +64,22 @@ def _shifted(x: Column, bits: Column) -> Column:
 
 
 def width(n: Column) -> Column:
-    """Cells of a part for so many digests."""
-    cells = F.greatest(F.ceil(n / F.lit(float(LOAD))), F.lit(LEAST))
-    return _shifted(F.lit(1).cast("long"), F.ceil(F.log2(cells.cast("double"))).cast("int"))
+    """The least power of two that is at least n, and LEAST."""
+    cells = F.greatest(n.cast("double"), F.lit(float(LEAST)))
+    return _shifted(F.lit(1).cast("long"), F.ceil(F.log2(cells)).cast("int"))
 
 
-def _cells(n: Column, key: Column, wide: Column) -> Column:
-    """n of a key as content (at, n, k) of its cell in every part; four times the cell and the part give `at`."""
-    part = lambda p: F.shiftrightunsigned(key, SHIFTS[p]).bitwiseAND(wide - 1).cast("int")
-    return F.array(
-        *[F.struct((F.shiftleft(part(p), 2) + p).alias("at"), n.alias("n"), key.alias("k")) for p in range(len(SHIFTS))]
-    )
+def _shifted(x: Column, bits: Column) -> Column:
+    return F.call_function("shiftleft", x, bits)
+
+
+def _cell(key: Column, part: Column | int, wide: Column) -> Column:
+    bits = F.lit(part) * 14 + CHECK if isinstance(part, int) else part * 14 + CHECK
+    return F.call_function("shiftrightunsigned", key, bits).bitwiseAND(wide - 1).cast("int")
 
 
 def gathered(cells: Column) -> Column:
-    """Contents of the same cell added up, in order of the cells; empty cells go."""
+    """Contents (at, n, k) of the same cell added up, in order of the cells; empty cells go."""
 
     def added(run):
         return F.struct(
@@ -86,95 +90,112 @@ def gathered(cells: Column) -> Column:
 
     body = lambda a, b, n: F.when(n == 1, F.get(a, b)).otherwise(let(F.slice(a, b + 1, n), added))
     whole = runs(F.sort_array(cells), lambda x, y: x["at"] != y["at"], body)
-    held = F.filter(whole, lambda x: (x["n"] != 0) | (x["k"] != 0))
-    return F.coalesce(held, F.array().cast("array<struct<at:int,n:int,k:bigint>>"))
+    return F.coalesce(F.filter(whole, lambda x: (x["n"] != 0) | (x["k"] != 0)), F.array().cast(CELLS))
 
 
-def spread(keys: Column, wide: Column, n: int = 1) -> Column:
-    """What n of each key add to the cells."""
-    return F.flatten(F.transform(keys, lambda k: _cells(F.lit(n), k, wide)))
+def spread(keys: Column, part: int, wide: Column, n: int = 1) -> Column:
+    """What n of each key add to the cells of a part."""
+    one = lambda k: F.struct(_cell(k, part, wide).alias("at"), F.lit(n).alias("n"), k.alias("k"))
+    return F.transform(keys, one)
 
 
 def sketch(keys: Column, wide: Column) -> Column:
-    """The occupied cells (at, n, k) of a sketch of the keys with `wide` cells a part, in order of `at`."""
-    return gathered(spread(keys, wide))
-
+    """For each part the occupied ones (at, n, k) of its `wide` cells, in order, when each key is added to one of them."""
+    return F.array(*[gathered(spread(keys, p, wide)) for p in range(PARTS)])
 
-def folded(cells: Column, wide: Column) -> Column:
-    """Contents of the sketch's cells as they stand in a sketch with `wide` cells a part, a smaller power of two."""
-    keep = F.shiftleft(wide, 2).cast("int") - 1
-    return F.transform(cells, lambda x: F.struct(x["at"].bitwiseAND(keep).alias("at"), x["n"], x["k"]))
 
+def folded(cells: Column, wide: Column, sign: int = 1) -> Column:
+    """Contents of a part's cells as they stand in a sketch with `wide` cells a part, a smaller power of two."""
+    one = lambda x: F.struct(x["at"].bitwiseAND(wide.cast("int") - 1).alias("at"), (x["n"] * sign).alias("n"), x["k"])
+    return F.transform(cells, one)
 
-def minus(a: Column, b: Column) -> Column:
-    """The difference of two sketches' contents."""
-    return gathered(F.concat(a, F.transform(b, lambda x: F.struct(x["at"], (-x["n"]).alias("n"), x["k"]))))
 
+def peeled(difference: list[Column], wide: Column) -> Column:
+    """How many digests the parts of a difference of sketches hold, by peeling; null if that gets stuck.
 
-def peeled(difference: Column, wide: Column) -> Column:
-    """How many digests a difference of sketches holds, by peeling; null if that gets stuck."""
+    Parts take turns: the digests that stand alone in a cell of one leave it and their cells of the others.
+    """
 
     def single(x):
         high = F.shiftleft(F.shiftrightunsigned(x["k"], CHECK), CHECK)
         return (F.abs(x["n"]) == 1) & (x["k"].bitwiseAND(F.lit((1 << CHECK) - 1)) == _check(high))
 
-    def pure(cells):
-        """(k, n) of the digests that stand alone in a cell; they may do so in several."""
-        found = F.transform(F.filter(cells, single), lambda x: F.struct(x["k"], x["n"]))
-        return runs(F.sort_array(found), lambda x, y: x["k"] != y["k"], lambda a, b, _: F.get(a, b))
-
-    def step(held, _):
-        def taken(keys):
-            gone = F.flatten(F.transform(keys, lambda x: _cells(-x["n"], x["k"], wide)))
-            left = F.when(keys.isNotNull(), gathered(F.concat(held["cells"], gone))).otherwise(held["cells"])
-            found = held["found"] + F.coalesce(F.size(keys), F.lit(0))
-            return let(left, lambda c: F.struct(c.alias("cells"), found.alias("found"), (keys.isNotNull() & (F.size(c) > 0)).alias("on")))
-
-        return F.when(held["on"], let(pure(held["cells"]), taken)).otherwise(held)
-
-    start = let(difference, lambda c: F.struct(c.alias("cells"), F.lit(0).alias("found"), (F.size(c) > 0).alias("on")))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
-    return let(end, lambda s: F.when(F.size(s["cells"]) == 0, s["found"]))
+    def step(held, turn):
+        def without(cells, pure, later):
+            part = (turn + later) % PARTS
+            gone = lambda x: F.struct(_cell(x["k"], part, wide).alias("at"), (-x["n"]).alias("n"), x["k"])
+            return F.when(F.size(cells) > 0, gathered(F.concat(cells, F.transform(pure, gone)))).otherwise(cells)
+
+        def taken(pure):
+            return F.when(
+                F.size(pure) > 0,
+                F.struct(
+                    without(held["b"], pure, 1).alias("a"),
+                    without(held["c"], pure, 2).alias("b"),
+                    F.filter(held["a"], lambda x: ~single(x)).alias("c"),
+                    (held["found"] + F.size(pure)).alias("found"),
+                    F.lit(0).alias("idle"),
+                ),
+            ).otherwise(
+                F.struct(
+                    held["b"].alias("a"), held["c"].alias("b"), held["a"].alias("c"), held["found"], (held["idle"] + 1).alias("idle")
+                )
+            )
+
+        return F.when(held["idle"] < PARTS, let(F.filter(held["a"], single), taken)).otherwise(held)
+
+    start = F.struct(*[x.alias(n) for x, n in zip(difference, "abc", strict=True)], F.lit(0).alias("found"), F.lit(0).alias("idle"))
+    end = F.aggregate(F.sequence(F.lit(0), F.lit(TURNS - 1)), start, step)
+    clear = lambda s: (F.size(s["a"]) == 0) & (F.size(s["b"]) == 0) & (F.size(s["c"]) == 0)
+    return let(end, lambda s: F.when(clear(s), s["found"]))
 
 
 def likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """`df` with the Jaccard likeness of two texts, of which it has <name>_keys, <name>_wide and <name>_cells; 1 if both have no paragraph.
+    """`df` with the Jaccard likeness of two texts, of which it has <name>_keys, _wide and _cells; 1 if both have no paragraph.
 
-    The fingerprints are subtracted at the smaller size. If they can't be peeled, larger sketches of both texts are;
-    a difference that occupies nearly all cells is too large to try.
+    How many digests differ is guessed from their least ones. The fingerprints are subtracted, folded to the size that
+    asks for, if they have it. Otherwise, or if they can't be peeled, larger sketches of both texts are, four times as large
+    each time.
     """
-    keys = [F.col(f"{x}_keys") for x in (a, b)]
-    both = F.size(keys[0]) + F.size(keys[1])
-    wide = F.least(f"{a}_wide", f"{b}_wide")
+    x, y = F.col(f"{a}_keys"), F.col(f"{b}_keys")
+    both = F.size(x) + F.size(y)
+    low = lambda keys: F.slice(keys, 1, GUESS)
+    common = F.size(F.array_intersect(low(x), low(y))) / F.least(F.lit(GUESS), F.greatest(F.size(x), F.size(y), F.lit(1)))
+    kept = F.least(f"{a}_wide", f"{b}_wide")
+
+    def start(guess):
+        return F.when(guess <= LOAD * kept, F.least(width(guess), kept)).otherwise(width(guess))
 
-    def stored(difference):
-        hopeless = F.size(difference) > F.lit(0.9 * len(SHIFTS)) * wide
-        return F.when(~hopeless, peeled(difference, wide))
+    def attempt(wide):
+        def part(p):
+            stored = [folded(F.get(f"{z}_cells", F.lit(p)), wide, n) for z, n in ((a, 1), (b, -1))]
+            made = [spread(F.col(f"{z}_keys"), p, wide, n) for z, n in ((a, 1), (b, -1))]
+            return gathered(F.when(wide <= kept, F.concat(*stored)).otherwise(F.concat(*made)))
 
-    d = f"__{name}"
-    of_fingerprints = let(minus(folded(F.col(f"{a}_cells"), wide), folded(F.col(f"{b}_cells"), wide)), stored)
-    df = df.withColumn(d, F.when(keys[0] == keys[1], F.lit(0)).otherwise(of_fingerprints))
+        return peeled([part(p) for p in range(PARTS)], wide)
 
-    def larger(found, i):
-        asked = _shifted(width(both), F.lit(2) * i)
-        retried = let(asked, lambda w: peeled(gathered(F.concat(spread(keys[0], w), spread(keys[1], w, -1))), w))
-        return F.when(found.isNull(), retried).otherwise(found)
+    def retry(found, i):
+        wide = lambda first: _shifted(first, F.lit(2) * i)
+        return F.when(found.isNotNull(), found).otherwise(let(wide(F.col(f"__{name}_start")), attempt))
 
-    exact = F.size(F.array_except(*keys)) + F.size(F.array_except(*reversed(keys)))
-    retries = F.aggregate(F.sequence(F.lit(0), F.lit(RETRIES - 1)), F.lit(None).cast("int"), larger)
-    df = df.withColumn(d, F.when(F.col(d).isNull(), F.coalesce(retries, exact)).otherwise(F.col(d)))
-    ratio = F.when(both == 0, F.lit(1.0)).otherwise((both - F.col(d)) / (both + F.col(d)))
-    return df.withColumn(name, ratio.cast("double")).drop(d)
+    df = df.withColumn(f"__{name}_start", let(both * (1 - common), start))
+    tried = F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), F.when(x == y, F.lit(0)), retry)
+    exact = F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))
+    df = df.withColumn(f"__{name}", F.coalesce(tried, exact))
+    ratio = F.when(both == 0, F.lit(1.0)).otherwise((both - F.col(f"__{name}")) / (both + F.col(f"__{name}")))
+    return df.withColumn(name, ratio.cast("double")).drop(f"__{name}", f"__{name}_start")
 
 
 def written(cells: Column, wide: Column) -> Column:
-    """A sketch as text: its cells a part, then place, count (16 bits) and digests of each occupied cell in base64."""
+    """A sketch as text: its cells a part, then each part's occupied cells in base64, all with place, count (16 bits) and digests."""
     hexed = lambda x, n: F.lpad(F.hex(x), n, "0")
     one = lambda c: F.concat(
         hexed(c["at"].cast("long"), 8), hexed(c["n"].cast("long").bitwiseAND(F.lit(65535)), 4), hexed(c["k"], 16)
     )
-    packed = F.replace(F.base64(F.unhex(F.array_join(F.transform(cells, one), ""))), F.lit("\r\n"), F.lit(""))
-    return F.concat_ws(":", wide.cast("string"), packed)
+    packed = F.transform(
+        cells, lambda part: F.replace(F.base64(F.unhex(F.array_join(F.transform(part, one), ""))), F.lit("\r\n"), F.lit(""))
+    )
+    return F.concat_ws(":", wide.cast("string"), F.array_join(packed, ":"))
 
 
 def with_next(docs: DataFrame, computed: dict[str, Column], parts_per_partition: int = 4) -> DataFrame:
@@ -240,7 +261,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     half = F.floor(F.length("text") / 2).cast("int")
     sketched = {
         "keys": digests(F.col("text")),
-        "wide": width(F.size("keys")),
+        "wide": width(F.ceil(F.size("keys") / F.lit(LOAD))),
         "cells": sketch(F.col("keys"), F.col("wide")),
     }
     rows = with_next(docs, sketched).withColumnsRenamed({x: f"own_{x}" for x in sketched})
@@ -253,7 +274,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         digests(F.col("edited")).alias("edited_keys"),
         *[f"{x}_{y}" for x in ("own", "next") for y in sketched],
     )
-    rows = rows.withColumn("edited_wide", width(F.size("edited_keys")))
+    rows = rows.withColumn("edited_wide", width(F.ceil(F.size("edited_keys") / F.lit(LOAD))))
     rows = rows.withColumn("edited_cells", sketch(F.col("edited_keys"), F.col("edited_wide")))
     rows = likeness(rows, "own", "edited", "near_edited")
     rows = likeness(rows, "own", "next", "near_next")
