@@ -5,8 +5,10 @@ An exact self-join of the documents' sets of word shingles, for connectivity:
 1. Each document's distinct shingles, as 64-bit hashes, are dealt by hash to buckets in packed form (one row per bucket
    and batch). A bucket finds the shingles that at least two different sets hold. Only these can be in an overlap, so a
    set stays only if at least 3/4 of it is shared: the overlap is at least 3/4 of either set.
-2. Sets are ordered by document frequency, rarest first. Two sets that link share a shingle among the first
-   n - ceil(3n/4) + 1 of each; sets that share one, and whose lengths allow a link, are put in one block.
+2. Sets are ordered by document frequency, rarest first. Of two sets that link, the larger has a shingle among its first
+   n - ceil(3n/4) + 1 that the smaller has among its first n - ceil(6n/7) + 1; sets that share such a one, and whose
+   lengths allow a link, are put in one block. A block of very many sets gives way to the groups that share one shingle
+   (a group is taken once, however many shingles it shares) where these are less work than all of the block.
 3. In a block the sets go into a path-compressed prefix tree (most frequent first, so that near copies share long paths).
    Each set walks the tree, carrying the overlap of the path that the subtree's sets share; a subtree is left when even
    its longest rest cannot reach the overlap that its smallest set needs, or when it is already linked to the set. What
@@ -35,6 +37,12 @@ WORDS = 5
 SHARE = (3, 4)
 #: Shared shingles that one task holds of a block; larger blocks are cut into chunks.
 BLOCK = 2_000_000
+#: Chunks of a block from which on it is asked whether its groups are less work.
+CHUNKS = 8
+#: Blocks whose names are broadcast at most.
+LARGE = 100_000
+#: Buckets of shingles for each shuffle partition; a worker holds one bucket at a time.
+SPLIT = 8
 #: Bytes of text that are hashed at once.
 SLICE = 2_000_000
 #: Bytes kept of a shingle's hash in the packed form; its bucket holds more of it.
@@ -138,13 +146,15 @@ def _deal(buckets: int):
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = -1
         for batch in batches:
             ids = batch.column(0).to_pylist()
+            first = (first + 1) * 7919 + batch.num_rows
             for at, sets in _texts(batch.column(1)):
                 keys = set_keys(sets)
                 n = [len(s) for s in sets]
                 own = [
-                    [int(k % buckets) for k in keys],
+                    [(first + at + i) % buckets for i in range(len(sets))],  # copies and empty texts spread evenly
                     ids[at : at + len(sets)],
                     [int(k) if m else None for k, m in zip(keys, n, strict=True)],
                     n,
@@ -180,22 +190,33 @@ _SHARED_NAMES = ["bucket", "doc_id", "set_key", "n", "entries", "hashes", "frequ
 _SHARED_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
 
+def _by_bucket(batches: Iterator[pa.RecordBatch], width: int):
+    """What a partition sorted by bucket holds, one after another: (batch of plain rows, None) or (None, a bucket's rows)."""
+    held: list[dict] = []
+    for batch in batches:
+        mask = pa.compute.is_null(batch.column(4))
+        if (plain := batch.filter(mask)).num_rows:
+            yield [plain.column(i) for i in range(width)], None
+        for row in batch.filter(pa.compute.invert(mask)).to_pylist():
+            if held and held[-1]["bucket"] != row["bucket"]:
+                yield None, held
+                held = []
+            held.append(row)
+    if held:
+        yield None, held
+
+
 def _find_shared(buckets: int):
-    """Reduce side of step 1: the shingles of this bucket that at least two sets hold, dealt by set."""
+    """Reduce side of step 1: the shingles of each bucket that at least two sets hold, dealt by set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {}
-        for batch in batches:
-            mask = pa.compute.is_null(batch.column(4))
-            if (plain := batch.filter(mask)).num_rows:
-                kept = [plain.column(i) for i in range(6)] + [pa.nulls(plain.num_rows, pa.binary())]
-                yield pa.RecordBatch.from_arrays(kept, _SHARED_NAMES)
-            for row in batch.filter(pa.compute.invert(mask)).to_pylist():
-                entry = np.frombuffer(row["entries"], _ENTRY)
-                parts.setdefault(row["bucket"], []).append((entry, _unpacked(row["hashes"])))
-        for bucket in sorted(parts):
-            entries = np.concatenate([e for e, _ in parts[bucket]])
-            hashes = np.concatenate([h for _, h in parts.pop(bucket)])
+        for plain, held in _by_bucket(batches, 6):
+            if plain:
+                yield pa.RecordBatch.from_arrays([*plain, pa.nulls(len(plain[0]), pa.binary())], _SHARED_NAMES)
+                continue
+            bucket = held[0]["bucket"]
+            entries = np.concatenate([np.frombuffer(r["entries"], _ENTRY) for r in held])
+            hashes = np.concatenate([_unpacked(r["hashes"]) for r in held])
             keys, first, which = np.unique(entries["key"], return_index=True, return_inverse=True)
             sizes = entries["size"][first]
             of = np.repeat(which.astype(np.int32), entries["count"])
@@ -206,8 +227,8 @@ def _find_shared(buckets: int):
             single = new.copy()
             single[1:] |= of[1:] != of[:-1]  # a copy's posting of the same shingle goes
             hashes, of, new = hashes[single], of[single], new[single]
-            runs = np.flatnonzero(new)
-            length = np.diff(np.append(runs, len(hashes)))
+            starts = np.flatnonzero(new)
+            length = np.diff(np.append(starts, len(hashes)))
             frequency = np.repeat(length, length).astype(np.uint32)
             keep = frequency >= 2
             hashes, of, frequency = hashes[keep], of[keep], frequency[keep]
@@ -231,46 +252,41 @@ def _find_shared(buckets: int):
     return run
 
 
-_SETS = "doc_id long, set_key long, n int, prefix int, shingles array<long>"
+_SETS = "doc_id long, set_key long, n int, prefix int, index int, shingles array<long>"
 
 
 def _order_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2's sets: enough shared shingles, rarest first, and how many of them the prefix takes."""
-    names = ["doc_id", "set_key", "n", "prefix", "shingles"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-    entries, hashes, frequency = [], [], []
-    for batch in batches:
-        mask = pa.compute.is_null(batch.column(4))
-        if (plain := batch.filter(mask)).num_rows:
-            m = plain.num_rows
-            kept = [plain.column(i) for i in (1, 2, 3)] + [pa.nulls(m, kinds[3]), pa.nulls(m, kinds[4])]
-            yield pa.RecordBatch.from_arrays(kept, names)
-        for row in batch.filter(pa.compute.invert(mask)).to_pylist():
-            entries.append(np.frombuffer(row["entries"], _ENTRY))
-            hashes.append(np.frombuffer(row["hashes"], np.uint64))
-            frequency.append(np.frombuffer(row["frequency"], np.uint32))
-    if not entries:
-        return
-    entry, shingle, often = np.concatenate(entries), np.concatenate(hashes), np.concatenate(frequency)
-    keys, first, which = np.unique(entry["key"], return_index=True, return_inverse=True)
-    n = entry["size"][first].astype(np.int64)
-    shared = np.bincount(which, weights=entry["count"], minlength=len(keys)).astype(np.int64)
-    stays = SHARE[1] * shared >= SHARE[0] * n
-    of = np.repeat(which, entry["count"])
-    keep = stays[of]
-    of, shingle, often = of[keep], shingle[keep], often[keep]
-    order = np.lexsort((shingle, often, of))
-    shingle, of = shingle[order].view(np.int64), of[order]
-    edges = np.searchsorted(of, np.arange(len(keys) + 1))
-    rows = []
-    for i in np.flatnonzero(stays):
-        need = -(-SHARE[0] * n[i] // SHARE[1])
-        rows.append((None, int(keys[i]), int(n[i]), int(shared[i] - need + 1), shingle[edges[i] : edges[i + 1]]))
-        if len(rows) == 1000:
+    """Step 2's sets: enough shared shingles, rarest first; how many of them a larger set's prefix takes, and a smaller one's."""
+    names = ["doc_id", "set_key", "n", "prefix", "index", "shingles"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+    for plain, held in _by_bucket(batches, 4):
+        if plain:
+            m = len(plain[0])
+            yield pa.RecordBatch.from_arrays([*plain[1:], *(pa.nulls(m, k) for k in kinds[3:])], names)
+            continue
+        entry = np.concatenate([np.frombuffer(r["entries"], _ENTRY) for r in held])
+        shingle = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in held])
+        often = np.concatenate([np.frombuffer(r["frequency"], np.uint32) for r in held])
+        keys, first, which = np.unique(entry["key"], return_index=True, return_inverse=True)
+        n = entry["size"][first].astype(np.int64)
+        shared = np.bincount(which, weights=entry["count"], minlength=len(keys)).astype(np.int64)
+        stays = SHARE[1] * shared >= SHARE[0] * n
+        of = np.repeat(which, entry["count"])
+        keep = stays[of]
+        of, shingle, often = of[keep], shingle[keep], often[keep]
+        order = np.lexsort((shingle, often, of))
+        shingle, of = shingle[order].view(np.int64), of[order]
+        edges = np.searchsorted(of, np.arange(len(keys) + 1))
+        rows = []
+        for i in np.flatnonzero(stays):
+            prefix = shared[i] + 1 + -SHARE[0] * n[i] // SHARE[1]  # without ceil(3n/4), the least overlap with a smaller set
+            index = shared[i] + 1 + -2 * SHARE[0] * n[i] // (SHARE[0] + SHARE[1])  # ceil(6n/7), that with a larger one
+            rows.append((None, int(keys[i]), int(n[i]), int(prefix), int(max(0, index)), shingle[edges[i] : edges[i + 1]]))
+            if len(rows) == 1000:
+                yield _batch(names, kinds, list(zip(*rows, strict=True)))
+                rows = []
+        if rows:
             yield _batch(names, kinds, list(zip(*rows, strict=True)))
-            rows = []
-    if rows:
-        yield _batch(names, kinds, list(zip(*rows, strict=True)))
 
 
 class Node:
@@ -392,56 +408,112 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row.
+def _in_chunks(members: DataFrame, sets: DataFrame, by: str, block: int) -> DataFrame:
+    """(task, set_key, n, side, shingles): the sets of each group (by, set_key), in chunks if they are more than a task holds.
 
-    A text's words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; its set holds its distinct five-word shingles, or
-    the whole sequence if it has fewer words. Null texts and texts without words have the empty set and link with
-    nothing: their component is their own doc_id. Sets link at a Jaccard similarity of 0.75 or more, counted exactly on
-    64-bit hashes; component_id is the smallest doc_id reachable. Repeated rows have equal results; an empty table
-    gives no rows; extra columns are not read.
+    Each pair of chunks is a task; side tells the two apart, 0 is a chunk with itself.
     """
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_deal(buckets), _DEALT)
-    shared = dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(_find_shared(buckets), _SHARED)
-    found = cut(shared.repartitionById(buckets, F.col("bucket")).mapInArrow(_order_sets, _SETS))
-    members = found.where("shingles is null").select("doc_id", "set_key", "n")
-    sets = found.where("shingles is not null").select("set_key", "n", "prefix", "shingles")
+    held = members.join(sets.select("set_key", "n", "shingles"), "set_key")
+    volume = held.groupBy(by).agg(F.ceil(F.sum(F.size("shingles")) / F.lit(block)).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("set_key"), F.col("chunks")).cast("int")
+    side = F.when(F.col("chunk") == F.col("other"), 0).when(F.col("chunk") < F.col("other"), 1).otherwise(2)
+    low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
+    return (
+        held.join(volume, by)
+        .withColumn("chunk", chunk)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select(F.concat_ws(":", by, low, high).alias("task"), "set_key", "n", side.alias("side"), "shingles")
+    )
 
+
+def _tasks(sets: DataFrame, block: int, chunks: int) -> DataFrame:
+    """Step 2: what each task of step 3 takes, by blocks, and by groups of one shingle where blocks are too much work."""
     # lengths that can link are in the same bin or in neighbouring ones
     bin_ = F.floor(F.log("n") / F.log(F.lit(SHARE[1] / SHARE[0]))).cast("int")
     probes = sets.select(
-        "set_key", F.explode(F.slice("shingles", 1, F.col("prefix"))).alias("shingle"), bin_.alias("bin")
-    ).select("set_key", "shingle", F.explode(F.array("bin", F.col("bin") + 1)).alias("bin"))
-    centres = probes.groupBy("shingle", "bin").agg(F.min("set_key").alias("centre"), F.count(F.lit(1)).alias("many"))
+        "set_key", bin_.alias("bin"), "index", F.posexplode(F.slice("shingles", 1, F.col("prefix"))).alias("at", "shingle")
+    ).select("set_key", "shingle", (F.col("at") < F.col("index")).alias("smaller"), F.explode(F.array("bin", F.col("bin") + 1)).alias("bin"))
+    centre = F.min(F.when(F.col("smaller"), F.col("set_key")))
+    centres = probes.groupBy("shingle", "bin").agg(centre.alias("centre"), F.count(F.lit(1)).alias("many"))
+    centres = centres.where("many > 1 and centre is not null")
     together = (
-        probes.join(centres.where("many > 1"), ["shingle", "bin"])
+        probes.join(centres, ["shingle", "bin"])
         .where("set_key <> centre")
         .select(F.col("set_key").alias("a"), F.col("centre").alias("b"))
         .distinct()
     )
-    labels = components(together)
-    blocked = sets.drop("prefix").join(labels, sets["set_key"] == labels["node"]).drop("node")
-    volume = labels.join(sets.select("set_key", F.size("shingles").alias("s")), labels["node"] == F.col("set_key"))
-    volume = volume.groupBy("label").agg(F.ceil(F.sum("s") / F.lit(block)).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("set_key"), F.col("chunks")).cast("int")
-    other = F.sequence(F.lit(0), F.col("chunks") - 1)
-    side = F.when(F.col("chunk") == F.col("other"), 0).when(F.col("chunk") < F.col("other"), 1).otherwise(2)
-    low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
-    tasks = (
-        blocked.join(volume, "label")
-        .withColumn("chunk", chunk)
-        .withColumn("other", F.explode(other))
-        .select(F.concat_ws(":", "label", low, high).alias("task"), "set_key", "n", side.alias("side"), "shingles")
+    labels = components(together).select(F.col("node").alias("set_key"), "label")
+    size = sets.select("set_key", F.size("shingles").alias("s"))
+    large = labels.join(size, "set_key").groupBy("label").agg(F.sum("s").alias("volume")).where(F.col("volume") > F.lit(chunks * block))
+    large = cut(large)
+    if large.isEmpty():
+        return _in_chunks(labels, sets, "label", block)
+
+    few = F.broadcast if large.limit(LARGE + 1).count() <= LARGE else (lambda df: df)
+    inside = labels.join(few(large.select("label")), "label")
+    groups = probes.join(inside, "set_key").groupBy("label", "shingle", "bin")
+    # groups of the same sets are one: told by their number and two sums of hashes without carry
+    own = groups.agg(
+        F.count(F.lit(1)).alias("many"),
+        F.max("smaller").alias("asked"),
+        F.bit_xor(F.xxhash64("set_key")).alias("x"),
+        F.bit_xor(F.xxhash64("set_key", F.lit(1))).alias("y"),
+    ).where("many > 1 and asked")
+    once = own.groupBy("label", "many", "x", "y").agg(F.min(F.struct("shingle", "bin")).alias("group")).select("label", "group")
+    grouped = cut(
+        once.select("label", "group.shingle", "group.bin")
+        .join(probes.drop("smaller"), ["shingle", "bin"])
+        .select("label", F.concat_ws("/", "shingle", "bin").alias("group"), "set_key")
     )
+    work = grouped.join(size, "set_key").groupBy("label").agg(F.sum("s").alias("work")).join(large, "label")
+    better = work.where(F.col("work") < F.col("volume") * F.ceil(F.col("volume") / F.lit(block))).select("label")
+    by_group = grouped.join(few(better), "label", "left_semi").select("group", "set_key")
+    by_block = labels.join(few(better), "label", "left_anti")
+    return _in_chunks(by_block, sets, "label", block).unionByName(_in_chunks(by_group, sets, "group", block))
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, parts: int) -> DataFrame:
+    """`rows` with the columns of `table` (key, rows: how many rows have it, ...); null where it lacks the key.
+
+    Keys of more than a share of 1 / (4 * parts) of all rows, at most 4 * parts, are broadcast, so that no task gets them whole.
+    """
+    total = table.agg(F.sum("rows")).first()[0] or 0
+    often = F.col("rows") * F.lit(4 * parts) > F.lit(total)
+    hot = F.broadcast(table.where(often).drop("rows"))
+    rest = rows.join(F.broadcast(table.where(often).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(table.where(~often).drop("rows"), key, "left"))
+
+
+def near_duplicates(docs: DataFrame, block: int = BLOCK, chunks: int = CHUNKS) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row.
+
+    A text's words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; its set holds its distinct five-word shingles, or
+    the whole sequence if it has fewer words. Null texts and texts without words have the empty set and link with
+    nothing: their component is their own doc_id. Sets link at a Jaccard similarity of 0.75 or more, counted exactly on
+    64-bit hashes; component_id is the smallest doc_id reachable. Repeated rows have equal results; very long texts are
+    one set each; an empty table gives no rows; extra columns are not read.
+    """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = parts * SPLIT
+    dealt = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_deal(buckets), _DEALT)
+    sorted_ = lambda df: df.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
+    shared = sorted_(dealt).mapInArrow(_find_shared(buckets), _SHARED)
+    found = cut(sorted_(shared).mapInArrow(_order_sets, _SETS))
+    members = found.where("shingles is null").select("doc_id", "set_key", "n")
+    sets = found.where("shingles is not null").select("set_key", "n", "prefix", "index", "shingles")
+
+    tasks = _tasks(sets, block, chunks)
     links = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_join_blocks, "a long, b long")
     linked = components(links)
-    joined = members.join(linked, members["set_key"] == linked["node"], "left").select(
-        "doc_id", "n", F.coalesce("label", "set_key").alias("class")
-    )
-    joined = cut(joined)
-    least = joined.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return joined.join(least, "class", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")
-    )
+    # for each distinct set its copies, then for each class its sets
+    copies = members.where("set_key is not null").groupBy("set_key").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least"))
+    copies = copies.join(linked, copies["set_key"] == linked["node"], "left")
+    copies = cut(copies.select("set_key", "rows", "least", F.coalesce("label", "set_key").alias("class")))
+    classes = cut(copies.groupBy("class").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("rows")))
+    sets_known = cut(_looked_up(copies.select("class", "set_key", F.col("rows").alias("copies")), classes, "class", parts))
+    known = sets_known.select("set_key", F.col("copies").alias("rows"), "component_id")
+    told = _looked_up(members.where("set_key is not null"), known, "set_key", parts)
+    alone = members.where("set_key is null").withColumn("component_id", F.col("doc_id"))
+    every = told.select("doc_id", "n", "component_id").unionByName(alone.select("doc_id", "n", "component_id"))
+    return every.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

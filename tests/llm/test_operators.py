@@ -152,16 +152,36 @@ def brute_components(texts):
     return {i: (len(sets[i]), least[i]) for i in sets}
 
 
-@pytest.mark.parametrize("block", [near_duplicates.BLOCK, 700])
-def test_near_duplicates_are_brute_force(docs, block):
+@pytest.mark.parametrize(("block", "chunks"), [(near_duplicates.BLOCK, near_duplicates.CHUNKS), (700, 100), (700, 0)])
+def test_near_duplicates_are_brute_force(docs, block, chunks):
     want = brute_components({r.doc_id: r.text for r in docs.collect()})
-    got = collected(near_duplicates.near_duplicates(docs, block))
+    got = collected(near_duplicates.near_duplicates(docs, block, chunks))
     assert len(got) == docs.count()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
     assert want[8][1] == 6 and want[9][1] == 6 and want[10][1] == 10
 
 
-def test_near_duplicates_of_a_large_group(spark):
+@pytest.mark.parametrize(("block", "chunks"), [(near_duplicates.BLOCK, 8), (1000, 50), (1000, 0)])
+def test_near_duplicates_in_blocks_that_passages_join(spark, block, chunks):
+    """Texts made of shared passages hang together in one block; few of them link. Sizes vary about the bound of 0.75."""
+    r = random.Random(11)
+    passages = [prose(r, 12) for _ in range(60)]
+    texts = {}
+    for i in range(0, 240, 2):
+        own = [r.choice(passages) for _ in range(r.randint(2, 9))]
+        texts[i] = " ".join([*own, prose(r, r.randint(0, 12))])
+        words = texts[i].split()
+        cut = r.randint(0, len(words) // 3)
+        texts[i + 1] = " ".join([*words[: len(words) - cut], *prose(r, r.choice([0, 0, cut])).split()])
+    texts |= {1000 + i: t for i, t in enumerate(list(texts.values())[:40])} | {2000: None, 2001: ""}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates.near_duplicates(df, block, chunks).collect()}
+    want = brute_components(texts)
+    assert got == want and 20 < sum(i != c for i, (_, c) in want.items()) < 200
+
+
+@pytest.mark.parametrize("chunks", [100, 0])
+def test_near_duplicates_of_a_large_group(spark, chunks):
     r = random.Random(1)
     base = [f"w{r.randrange(10**6)}" for _ in range(120)]
     texts = {}
@@ -169,10 +189,23 @@ def test_near_duplicates_of_a_large_group(spark):
         base[r.randrange(120)] = f"v{i}"
         texts[i] = " ".join(base)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(df, 5_000).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(df, 5_000, chunks).collect()}
     assert got == brute_components(texts)
 
 
+def test_hot_groups_of_copies(spark):
+    """A third of the rows are one text, a third are empty or null, some without doc_id."""
+    r = random.Random(12)
+    hot = prose(r, 40)
+    rows = [(i, hot if i % 3 == 0 else r.choice([None, "", " "]) if i % 3 == 1 else prose(r, 20)) for i in range(300)]
+    rows += [(None, hot), (None, None), (None, prose(r, 9))]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == len(rows)
+    named = {x.doc_id: x.component_id for x in got if x.doc_id is not None}
+    assert named == {i: 0 if i % 3 == 0 else i for i in range(300)}
+    assert sorted((x.n_shingles, x.component_id) for x in got if x.doc_id is None and x.component_id is not None) == [(36, 0)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
