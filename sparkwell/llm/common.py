@@ -49,3 +49,27 @@ def runs(
         return F.when(F.size(a) > 0, let(heads, each))
 
     return let(ordered, of)
+
+
+def running(values: Column, add: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """`add` of each element of an array of numbers and all before it, for an associative `add` with its `zero`.
+
+    In blocks of about the square root of the elements, since an array can't grow step by step without copies.
+    """
+
+    def of(a):
+        width = F.greatest(F.ceil(F.sqrt(F.size(a).cast("double"))).cast("int"), F.lit(1))
+        fold = lambda part: F.aggregate(part, zero, add)
+
+        def of_blocks(blocks):
+            before = lambda k: fold(F.transform(F.slice(blocks, F.lit(1), k), fold))
+            inside = lambda block, first: F.transform(
+                block, lambda _, i: add(first, fold(F.slice(block, F.lit(1), i + 1)))
+            )
+            return F.flatten(F.transform(blocks, lambda block, k: let(before(k), lambda first: inside(block, first))))
+
+        starts = lambda w: F.sequence(F.lit(0), F.size(a) - 1, w)
+        cut_up = let(width, lambda w: F.transform(starts(w), lambda b: F.slice(a, b + 1, w)))
+        return F.when(F.size(a) > 0, let(cut_up, of_blocks)).otherwise(a)
+
+    return let(values, of)

@@ -23,7 +23,7 @@ LITERAL = 4
 COVER = 0.5
 #: Windows of the benchmark that are broadcast at once (about 200 bytes each); more are asked in several passes.
 BLOCK = 100_000
-#: Leaking texts up to which their keys (two numbers each) are broadcast.
+#: Found texts up to which their keys (two numbers each) are broadcast.
 FEW = 500_000
 #: Tokens of a text whose windows are held at once.
 STRETCH = 4096
@@ -129,41 +129,39 @@ def asked_windows(benchmark: DataFrame, window: int, literal: int) -> DataFrame:
 
 
 def held_windows(docs: DataFrame, kinds: list[tuple[str, int]]) -> DataFrame:
-    """(doc_id, text_hash, hash, at, held) of each window of the texts of the asked kinds and lengths; held is its raw tokens.
+    """(doc_id, text_hash, hash, at) of each window of the texts of the asked kinds and lengths.
 
     Texts are taken in stretches of STRETCH tokens, so a very long one needs little memory.
     """
     longest = max((w for k, w in kinds if k != WHOLE), default=1)
     rows = docs.select("doc_id", text_hash().alias("text_hash"), raw_tokens(whole_text()).alias("raw"))
-    rows = rows.select("doc_id", "text_hash", "raw", template_tokens(F.col("raw")).alias("template"))
-    part = lambda x, b: F.slice(x, b + 1, F.lit(STRETCH + longest - 1))
-    stretch = lambda b: F.struct(
-        b.alias("base"),
-        part(F.col("raw"), b).alias("raw"),
-        part(F.col("template"), b).alias("template"),
+    by_words = any(k != TEMPLATE for k, _ in kinds)
+    rows = rows.select(
+        "doc_id",
+        "text_hash",
         F.size("raw").alias("tokens"),
+        template_tokens(F.col("raw")).alias("template"),
+        *([_words(F.col("raw")).alias("words")] if by_words else []),
     )
-    bases = F.sequence(F.lit(0), F.size("raw") - 1, F.lit(STRETCH))
-    stretches = F.when(F.size("raw") > 0, F.transform(bases, stretch))
-    rows = rows.select("doc_id", "text_hash", F.explode(stretches).alias("s")).select("doc_id", "text_hash", "s.*")
-    if any(k != TEMPLATE for k, _ in kinds):
-        rows = rows.withColumn("words", _words(F.col("raw")))
+    part = lambda x, b: F.slice(x, b + 1, F.lit(STRETCH + longest - 1)).alias(x)
+    held = ["template", *(["words"] if by_words else [])]
+    stretch = lambda b: F.struct(b.alias("base"), *[part(x, b) for x in held])
+    bases = F.sequence(F.lit(0), F.col("tokens") - 1, F.lit(STRETCH))
+    stretches = F.when(F.col("tokens") > 0, F.transform(bases, stretch))
+    rows = rows.select("doc_id", "text_hash", "tokens", F.explode(stretches).alias("s")).select("doc_id", "text_hash", "tokens", "s.*")
 
     def of(kind, window):
         tokens = F.col("template" if kind == TEMPLATE else "words")
-        one = lambda i: F.struct(
-            _hash(tokens, i, window, kind).alias("hash"),
-            (F.col("base") + i).alias("at"),
-            F.slice("raw", i + 1, F.lit(window)).alias("held"),
-        )
-        # windows that begin in the next stretch are found there
-        own = F.filter(_places(tokens, window), lambda i: i < STRETCH)
-        return F.transform(own if kind != WHOLE else F.when(F.col("tokens") == window, own), one)
+        last = F.least(F.size(tokens) - window, F.lit(STRETCH - 1))  # those that begin in the next stretch are found there
+        held = (last >= 0) & ((F.col("tokens") == window) if kind == WHOLE else F.lit(True))
+        return F.when(held, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: _hash(tokens, i, window, kind)))
 
-    none = F.array().cast("array<struct<hash:bigint,at:int,held:array<string>>>")
-    every = [F.coalesce(of(k, w), none) for k, w in kinds]
-    found = every[0] if len(every) == 1 else F.concat(*every)
-    return rows.select("doc_id", "text_hash", F.explode(found).alias("w")).select("doc_id", "text_hash", "w.*")
+    every = [of(k, w) for k, w in kinds]
+    if len(every) > 1:
+        rows = rows.select("doc_id", "text_hash", "base", F.explode(F.array(*every)).alias("hashes"))
+    own = F.col("hashes") if len(every) > 1 else every[0]
+    rows = rows.select("doc_id", "text_hash", "base", F.posexplode(own).alias("pos", "hash"))
+    return rows.select("doc_id", "text_hash", "hash", (F.col("base") + F.col("pos")).alias("at"))
 
 
 def text_hash() -> Column:
@@ -211,6 +209,38 @@ def _all_equal(x: Column, y: Column, names: tuple[str, ...]) -> Column:
     return out
 
 
+TEXT = ["doc_id", "text_hash"]
+
+
+def _few(found: DataFrame) -> DataFrame:
+    """Keys of texts, broadcast if they are at most FEW."""
+    return F.broadcast(found) if found.limit(FEW + 1).count() <= FEW else found
+
+
+def _with_values(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """Hits as (text, item, shift, w: item_at, window, slots with the values that the text has for them).
+
+    The hits of a text, each once, go to its row, so its tokens are made once. Only texts with hits are read for that.
+    """
+    names = ["item_id", "item_hash", "item_tokens", "item_at", "window", "slots"]
+    own = cut(hits.groupBy(*TEXT).agg(F.collect_set(F.struct("at", *names)).alias("hits")))
+    keys = own.select(F.col("doc_id").alias("__hit_id"), F.col("text_hash").alias("__hit_text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__hit_id")) & (F.col("text_hash") == F.col("__hit_text"))
+    texts = docs.select("doc_id", text_hash().alias("text_hash"), whole_text().alias("text")).join(_few(keys), same, "left_semi")
+    texts = texts.select(*TEXT, raw_tokens(F.col("text")).alias("raw"))
+    both = own.withColumnsRenamed({"doc_id": "__hit_id", "text_hash": "__hit_text"}).join(texts, same)
+
+    def valued(h):
+        shift = h["at"] - h["item_at"]
+        value = lambda s: F.struct(
+            s["place"], s["kind"], s["asked"], F.ltrim(F.get("raw", s["place"] + shift)).alias("held")
+        )
+        slots = F.transform(h["slots"], value).alias("slots")
+        return F.struct(*[h[x] for x in names[:3]], shift.alias("shift"), F.struct(h["item_at"], h["window"], slots).alias("w"))
+
+    return both.select(*TEXT, F.explode(F.transform("hits", valued)).alias("h")).select(*TEXT, "h.*")
+
+
 def _text_leaks(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, literal: int = LITERAL
 ) -> DataFrame:
@@ -226,19 +256,8 @@ def _text_leaks(
     for k in range(max(1, passes)):
         own = held.join(F.broadcast(asked.where(block == k) if passes > 1 else asked), "hash")
         hits = own if hits is None else hits.unionByName(own)
-    value = lambda s: F.struct(
-        s["place"], s["kind"], s["asked"], F.ltrim(F.get("held", s["place"] - F.col("item_at"))).alias("held")
-    )
-    hits = hits.select(
-        "doc_id",
-        "text_hash",
-        "item_id",
-        "item_hash",
-        "item_tokens",
-        (F.col("at") - F.col("item_at")).alias("shift"),
-        F.struct("item_at", "window", F.transform("slots", value).alias("slots")).alias("w"),
-    )
-    text, item = ["doc_id", "text_hash"], ["item_id", "item_hash", "item_tokens"]
+    hits = _with_values(hits, docs)
+    text, item = TEXT, ["item_id", "item_hash", "item_tokens"]
     aligned = hits.groupBy(*text, *item, "shift").agg(F.collect_set("w").alias("windows"))
     kept = aligned.select(*text, *item, F.explode(_conforming(F.col("windows"))).alias("w"))
     places = kept.select(
@@ -267,7 +286,8 @@ def leaks(
     row of those that contain the item has the largest covered; very long texts are taken in stretches; empty tables give
     no rows; extra columns are ignored.
 
-    No text is shuffled: the benchmark's windows are broadcast, BLOCK at a time, and what is found goes on.
+    The benchmark's windows are broadcast, BLOCK at a time. No text is shuffled, or where more than FEW have windows of the
+    benchmark, only in order to verify these.
     """
     found = _text_leaks(docs, benchmark, window, cover, literal)
     return found.groupBy("doc_id", "item_id").agg(
@@ -285,6 +305,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFram
     """
     found = _text_leaks(docs, benchmark, **options)
     found = cut(found.select(F.col("doc_id").alias("__leak_id"), F.col("text_hash").alias("__leak_text")).distinct())
-    few = found.limit(FEW + 1).count() <= FEW
     own = F.col("doc_id").eqNullSafe(F.col("__leak_id")) & (text_hash() == F.col("__leak_text"))
-    return docs.join(F.broadcast(found) if few else found, own, "left_anti")
+    return docs.join(_few(found), own, "left_anti")

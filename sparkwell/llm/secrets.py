@@ -9,13 +9,14 @@ verified on all rows.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from re import _parser as sre
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwell.llm.common import whole_text
+from sparkwell.llm.common import let, running, whole_text
 
 #: Strings that a finite part of an expression may spell before it is cut into trigrams.
 MOST_STRINGS = 32
@@ -149,32 +150,29 @@ def candidates(docs: DataFrame, key: Column, rules: tuple[Rule, ...]) -> DataFra
     return whole.groupBy("row_key").agg(F.collect_set("kind").alias("kinds"))
 
 
-def _spans(text: Column, rule: Rule, place: int) -> Column:
-    """Array of (start, place, end) of the rule's matches that are long enough, in code points.
+SPANS = "array<struct<start:int,place:int,end:int>>"
 
-    What split() leaves between the matches gives their starts.
+
+def _spans(text: Column, rule: Rule, place: int, size: Callable[[Column], Column]) -> Column:
+    """Array of (start, place, end) of the rule's matches that are long enough, as `size` counts.
+
+    What split() leaves between the matches gives their starts, by a running sum.
     """
     pattern = F.lit(rule.pattern)
-    pairs = F.arrays_zip(
-        F.split(text, rule.pattern, -1).alias("gap"),
-        F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"),
-        F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("value"),
-    )
-    span = "struct<start:int,place:int,end:int>"
-    nothing = F.array().cast(f"array<{span}>")
-    start = F.struct(F.lit(0).alias("at"), nothing.alias("found"))
 
-    def step(state, pair):
-        begin = state["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["hit"])
-        own = F.struct(begin.alias("start"), F.lit(place).alias("place"), end.alias("end"))
-        found = F.when(
-            F.length(pair["value"]) >= rule.least, F.concat(state["found"], F.array(own))
-        ).otherwise(state["found"])
-        # the last gap has no match after it
-        return F.when(pair["hit"].isNull(), state).otherwise(F.struct(end.alias("at"), found.alias("found")))
+    def found(hits):
+        gaps = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(hits))
+        steps = F.zip_with(gaps, hits, lambda gap, hit: size(gap) + size(hit))
+        spans = lambda ends: F.zip_with(
+            ends, hits, lambda end, hit: F.struct((end - size(hit)).alias("start"), F.lit(place).alias("place"), end.alias("end"))
+        )
+        long = lambda values: F.filter(
+            let(running(steps, lambda x, y: x + y, F.lit(0)), spans), lambda _, i: F.length(F.get(values, i)) >= rule.least
+        )
+        return let(F.regexp_extract_all(text, pattern, F.lit(rule.group)), long)
 
-    return F.when(F.rlike(text, pattern), F.aggregate(pairs, start, step)["found"]).otherwise(nothing)
+    hits = F.regexp_extract_all(text, pattern, F.lit(0))
+    return F.when(F.rlike(text, pattern), let(hits, found)).otherwise(F.array().cast(SPANS))
 
 
 def _written(spans: Column, kinds: list[str]) -> Column:
@@ -182,13 +180,16 @@ def _written(spans: Column, kinds: list[str]) -> Column:
     one = lambda s: F.concat_ws(
         ":", F.element_at(names, s["place"] + 1), s["start"].cast("string"), s["end"].cast("string")
     )
-    return F.array_join(F.transform(F.array_sort(spans), one), ",")
+    return F.array_join(F.transform(F.sort_array(spans), one), ",")
 
 
-def with_spans(docs: DataFrame, base: tuple[Rule, ...] = BASE, extra: tuple[Rule, ...] = EXTRA) -> DataFrame:
+def with_spans(
+    docs: DataFrame, base: tuple[Rule, ...] = BASE, extra: tuple[Rule, ...] = EXTRA, size: Callable[[Column], Column] = F.length
+) -> DataFrame:
     """All columns of `docs` and secret_spans: the matches of all rules as (start, place of the rule, end).
 
-    Rows are told apart by doc_id (by their text where it is null); rows that share one are verified each.
+    Places are code points, or what else `size` counts (F.octet_length: bytes). Rows are told apart by doc_id (by their
+    text where it is null); rows that share one are verified each.
     """
     rules = base + extra
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
@@ -197,11 +198,9 @@ def with_spans(docs: DataFrame, base: tuple[Rule, ...] = BASE, extra: tuple[Rule
     text = whole_text()
     found = F.concat(
         *[
-            _spans(text, r, i)
+            _spans(text, r, i, size)
             if r not in indexed
-            else F.when(F.array_contains("__secret_kinds", r.kind), _spans(text, r, i)).otherwise(
-                F.array().cast("array<struct<start:int,place:int,end:int>>")
-            )
+            else F.when(F.array_contains("__secret_kinds", r.kind), _spans(text, r, i, size)).otherwise(F.array().cast(SPANS))
             for i, r in enumerate(rules)
         ]
     )
@@ -216,8 +215,9 @@ def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, extra: tuple[Rule, ...]
     """doc_id, n_<kind> of each base rule, base_sha256 and spans of every row.
 
     base_sha256 digests the base rules' spans, spans lists those of all rules. Spans of one rule never overlap. A null
-    or empty text has none (the digest is then that of the empty string); repeated rows are scanned each; an empty
-    table gives no rows; extra columns are ignored.
+    or empty text has none (the digest is then that of the empty string); a very long text costs hardly more than its
+    length, however many matches it has; repeated rows are scanned each; an empty table gives no rows; extra columns are
+    ignored.
     """
     kinds = [r.kind for r in base + extra]
     rows = with_spans(docs.select("doc_id", "text"), base, extra)
@@ -239,24 +239,43 @@ def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, extra: tuple[Rule, ...]
 def redact(docs: DataFrame, base: tuple[Rule, ...] = BASE, extra: tuple[Rule, ...] = EXTRA) -> DataFrame:
     """The rows of `docs`, unchanged in columns, with every found secret in text replaced by [kind].
 
-    Overlapping spans are replaced together, by the name of the first. Texts without a secret, null ones included,
-    stay as they are.
+    Overlapping spans are replaced together, by the name of the first. Texts without a secret, null and empty ones
+    included, stay as they are, repeated rows are redacted each, and an empty table stays empty.
     """
-    kinds = [r.kind for r in base + extra]
-    rows = with_spans(docs, base, extra)
-    spans = F.array_sort("secret_spans")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    names = F.array(*[F.lit(f"[{k}]") for k in kinds])
-
-    def step(state, s):
-        gap = F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"])
-        put = F.when(s["start"] >= state["at"], F.concat(state["text"], gap, F.element_at(names, s["place"] + 1)))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), put.otherwise(state["text"]).alias("text"))
-
-    done = F.aggregate(spans, start, step)
-    clean = F.concat(done["text"], F.substr("text", done["at"] + 1))
-    new = F.when(F.size("secret_spans") > 0, clean).otherwise(F.col("text"))
-    return rows.withColumn("text", new).select(*docs.columns)
+    names = F.array(*[F.lit(f"[{r.kind}]") for r in base + extra])
+    rows = with_spans(docs, base, extra, F.octet_length)
+    raw = F.col("text").cast("binary")
+    piece = lambda start, end: F.substring(raw, start + 1, end - start).cast("string")
+
+    def groups(spans):
+        """(start, place of the first, end) of spans that overlap one another, in order."""
+
+        def of(reach):
+            heads = F.filter(
+                F.sequence(F.lit(0), F.size(spans) - 1), lambda i: (i == 0) | (F.get(spans, i)["start"] >= F.get(reach, i - 1))
+            )
+            own = lambda h: F.transform(
+                h,
+                lambda b, j: F.struct(
+                    F.get(spans, b)["start"].alias("start"),
+                    F.get(spans, b)["place"].alias("place"),
+                    F.get(reach, F.coalesce(F.get(h, j + 1), F.size(spans)) - 1).alias("end"),
+                ),
+            )
+            return let(heads, own)
+
+        return let(running(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y), F.lit(0)), of)
+
+    def clean(found):
+        put = F.transform(
+            found,
+            lambda g, i: F.concat(piece(F.coalesce(F.get(found, i - 1)["end"], F.lit(0)), g["start"]), F.get(names, g["place"])),
+        )
+        last = F.get(found, F.size(found) - 1)["end"]
+        return F.concat(F.array_join(put, ""), piece(last, F.octet_length("text")))
+
+    new = let(let(F.sort_array("secret_spans"), groups), clean)
+    return rows.withColumn("text", F.when(F.size("secret_spans") > 0, new).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def python_spans(text: str | None, rules: tuple[Rule, ...] = BASE) -> list[tuple[int, int, int]]:

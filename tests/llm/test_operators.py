@@ -86,6 +86,32 @@ def test_redaction_keeps_rows_and_columns(docs):
     assert "[assign]" in text[14] and "AKIA" not in text[14] and "hunter2" not in text[14]
 
 
+def test_redaction_of_overlapping_and_very_many_secrets(spark):
+    rules = secrets.BASE + secrets.EXTRA
+    many = " é ".join(f"token={i:08d}x AKIA{'B' * 12}{i % 7}" for i in range(4000))
+    texts = [many, "token=" + "ab12" * 10 + " é", "é AKIA" + "0" * 20 + "secret: " + "0123456789abcdef" * 3 + "zz é", "a" * 31, "a" * 32, "é", None, ""]
+    df = spark.createDataFrame([(None if i == 2 else i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, secret_spans int").drop("secret_spans")
+    got = {(r.doc_id): r.text for r in secrets.redact(df).collect()}
+    for i, t in enumerate(texts):
+        out, at, spans = "", 0, secrets.python_spans(t, rules)
+        for start, place, end in spans:
+            if start >= at:
+                out += (t or "")[at:start] + f"[{rules[place].kind}]"
+            at = max(at, end)
+        assert got[None if i == 2 else i] == (out + t[at:] if t and spans else t)
+
+
+def test_running_values(spark):
+    from pyspark.sql import functions as F
+
+    from sparkwell.llm.common import running
+
+    rows = [([], 0), ([3], 1), ([1, 5, 2], 2), (list(range(50, 0, -1)), 3), ([7] * 101, 4)]
+    df = spark.createDataFrame(rows, "a array<int>, i int")
+    for r in df.select("a", running(F.col("a"), lambda x, y: x + y, F.lit(0)).alias("s"), running(F.col("a"), lambda x, y: F.greatest(x, y), F.lit(0)).alias("m")).collect():
+        assert r.s == np.cumsum(r.a).tolist() and r.m == (np.maximum.accumulate(r.a).tolist() if r.a else [])
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     bench = spark.createDataFrame([], "item_id long, text string")
