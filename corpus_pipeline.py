@@ -14,9 +14,12 @@ from sparkwell.llm.queries import table, tokenizer_file
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be determined: null texts and texts without a letter.
+    """Drops documents whose language can't be determined; a null lang becomes the predicted language.
 
-    The model is fitted on a bounded sample of the labelled documents of this input that are not held out.
+    These are null texts, texts without a letter, and texts whose best language is less likely than the others together.
+    The model is fitted on a bounded sample of the labelled documents of this input that are not held out; where none is
+    labelled, all texts with a letter stay. Each row is judged by its text only, so repeated rows and rows without doc_id
+    are like others; an empty table stays empty; more columns stay as they are.
     """
     return langid.identified(docs, langid.train(docs.where(~langid.is_held_out())))
 
@@ -24,7 +27,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates the document with the smallest doc_id.
 
-    Rows that repeat both doc_id and text count as one. Rows without doc_id can't be told apart and stay.
+    Rows that repeat both doc_id and text count as one. Rows without doc_id can't be told apart and stay. Empty texts are
+    no duplicates of one another; an empty table stays empty; more columns stay as they are.
     """
     found = near_duplicates.near_duplicates(docs)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
@@ -35,12 +39,20 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a benchmark item or a re-parameterised one."""
+    """Drops documents that contain a benchmark item or a re-parameterised one.
+
+    Each row is judged by its own text, whatever shares its doc_id or has none too; null and empty texts stay; an empty
+    table or benchmark drops nothing; more columns stay as they are.
+    """
     return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in texts by their kind; every document stays. n_chars follows the text."""
+    """Replaces secrets in texts by their kind; every document stays. n_chars follows the text.
+
+    Null and empty texts, repeated rows and rows without doc_id stay; an empty table stays empty; more columns stay as
+    they are.
+    """
     clean = secrets.redact(docs)
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
@@ -49,7 +61,11 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences of at most 2048."""
+    """Packs the documents' tokens into sequences of at most 2048; a row for each piece, as packing.pack() returns them.
+
+    A null text is empty and has its closing id all the same; repeated rows are packed each, rows without doc_id too; an
+    empty table gives no rows; more columns are not read.
+    """
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 
