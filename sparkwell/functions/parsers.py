@@ -44,8 +44,8 @@ def boolean(text: Column) -> Column:
 
 
 def says_yes(text: Column) -> Column:
-    """1 if the answer contains yes, else 0."""
-    return F.when(F.contains(F.lower(text), F.lit("yes")), 1.0).otherwise(0.0)
+    """1 if the answer has the word yes, else 0."""
+    return F.when(F.rlike(F.lower(text), F.lit(r"\byes\b")), 1.0).otherwise(0.0)
 
 
 def score(text: Column) -> Column:
@@ -64,6 +64,7 @@ def five_score(s: Column) -> Column:
     return s * 4 + 1
 
 
+# fixed value: a triplet in an answer
 _TRIPLET = r"\(([^,]+),\s*([^,]+),\s*([^)]+)\)"
 
 
@@ -85,10 +86,17 @@ def triplets(text: Column, most: int = 10, longest: int = 128) -> Column:
     )
 
 
+# fixed values: words of a question that name nothing
+QUESTION_WORDS = (
+    "the a an is are was were be been being have has had do does did will would could should may might must shall of in to for"
+    " with on at by from as and or but if then that which who whom whose this these those it its what when where why how"
+).split()
+
+
 def query_keywords(text: Column, most: int = 10) -> Column:
-    """Lower-cased words of more than two letters or digits, the first ones in order."""
+    """Lower-cased words of more than two letters or digits that are no QUESTION_WORDS, the first ones in order."""
     words = F.transform(fields(F.lower(text)), lambda w: F.regexp_replace(w, "[^a-z0-9]", ""))
-    return F.slice(F.filter(words, lambda w: F.length(w) > 2), 1, most)
+    return F.slice(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(QUESTION_WORDS)), 1, most)
 
 
 def listed_keywords(text: Column) -> Column:

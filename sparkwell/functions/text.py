@@ -56,8 +56,21 @@ def content(text: Column, metadata: Column, mode: str = "all", excluded_embed: C
     return F.when(meta == "", text).otherwise(trimmed(F.concat(meta, F.lit("\n\n"), text)))
 
 
-def node_hash(text: Column, metadata: Column, node_type: Column) -> Column:
-    return F.sha2(F.concat(F.lit("type="), node_type, content(text, metadata)).cast("binary"), 256)
+def _code_point(n: Column) -> Column:
+    """The character with this number as UTF-8 bytes; numbers that are no character give the replacement character."""
+    valid = n.between(0, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+    own = F.when(valid, n).otherwise(F.lit(0xFFFD)).cast("long")
+    return F.encode(F.decode(F.unhex(F.lpad(F.hex(own), 8, "0")), "UTF-32"), "UTF-8")
+
+
+def node_hash(text: Column, metadata: Column, node_type: Column, start: Column | None = None, end: Column | None = None) -> Column:
+    """Digest of the type, the content and, where both are given, the offsets, each written as the character of that number."""
+    head = F.concat(F.lit("type="), node_type).cast("binary")
+    body = content(text, metadata).cast("binary")
+    if start is None or end is None:
+        return F.sha2(F.concat(head, body), 256)
+    place = F.concat(F.lit("startCharIdx=").cast("binary"), _code_point(start), F.lit(" endCharIdx=").cast("binary"), _code_point(end))
+    return F.sha2(F.concat(head, F.when(start.isNotNull() & end.isNotNull(), place).otherwise(F.lit("").cast("binary")), body), 256)
 
 
 def document_hash(doc_id: Column, text: Column) -> Column:
@@ -89,11 +102,15 @@ def citation(doc_id: Column, text: Column, n: int = 100) -> Column:
 
 
 # fixed values: words that compression leaves out
-COMPRESSED_AWAY = "a an the is are was were be been being have has had do does did".split()
+COMPRESSED_AWAY = (
+    "a an the and or but in on at to for of with by from as is was are were been be have has had do does did will would could"
+    " should may might must shall can need this that these those i you he she it we they what which who whom when where why how"
+    " all each every both few more most other some such no nor not only own same so than too very just also now here there"
+).split()
 
 
 def compressed(text: Column, stop_words: bool = False, most: int | None = None) -> Column:
-    """White space collapsed, optionally without stop words, cut at a sentence's or else a word's end."""
+    """White space collapsed, optionally without stop words, cut at a sentence's end past the middle or else a word's."""
     words = fields(text)
     if stop_words:
         words = F.filter(words, lambda w: ~F.lower(w).isin(COMPRESSED_AWAY))
@@ -103,6 +120,8 @@ def compressed(text: Column, stop_words: bool = False, most: int | None = None)
     head = head_bytes(joined, most)
     stop = F.length(head) - F.instr(F.reverse(head), ".") + 1
     space = F.length(head) - F.instr(F.reverse(head), " ")
-    at_stop = F.when((F.instr(head, ".") > 0) & (stop * 2 > F.length(head)), F.substring(head, F.lit(1), stop))
+    # the last full stop's offset in bytes decides
+    to_stop = F.substring(head, F.lit(1), stop)
+    at_stop = F.when((F.instr(head, ".") > 0) & (F.octet_length(to_stop) - 1 > most // 2), to_stop)
     at_space = F.when(F.instr(head, " ") > 0, F.concat(F.substring(head, F.lit(1), space), F.lit("...")))
-    return F.when(F.octet_length(joined) <= most, joined).otherwise(F.coalesce(at_stop, at_space, F.concat(head, F.lit("..."))))
+    return F.when(F.octet_length(joined) <= most, joined).otherwise(F.coalesce(at_stop, at_space, head))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -80,6 +80,19 @@ def scale(v: Column, by: float) -> Column:
     return F.transform(doubles(v), lambda x: x * F.lit(float(by)))
 
 
+def mean(df: DataFrame, key: str, embedding: str = "embedding") -> DataFrame:
+    """(key, dimension, embedding): the element-wise mean of each key's vectors; vectors must have one length.
+
+    Positions are averaged before vectors are put together, so no key's vectors meet in one row.
+    """
+    own = df.where(F.col(embedding).isNotNull()).select(key, F.size(embedding).alias("dimension"), F.posexplode(doubles(F.col(embedding))).alias("pos", "x"))
+    means = own.groupBy(key, "pos").agg(F.avg("x").alias("x"), F.min("dimension").alias("lo"), F.max("dimension").alias("hi"))
+    entry = F.array_sort(F.collect_list(F.struct("pos", "x")))
+    made = means.groupBy(key).agg(F.min("lo").alias("lo"), F.max("hi").alias("dimension"), entry.alias("e"))
+    same = F.when(F.col("lo") == F.col("dimension"), F.transform("e", lambda p: p["x"]))
+    return made.select(key, "dimension", F.coalesce(same, F.raise_error(F.lit("vectors of different lengths")).cast("array<double>")).alias("embedding"))
+
+
 def to_sparse(v: Column, threshold: float = 0.0) -> Column:
     """struct(indices, values, dimension) of the entries whose size exceeds the threshold."""
     pairs = F.filter(

@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkwell.functions.arrays import running
+from sparkwell.operators.common import ranges
+
 # fixed values
 SENTENCE = r"[^,.;。？！]+[,.;。？！]?|[,.;。？！]"
 PARAGRAPH = "\n\n\n"
@@ -37,15 +40,21 @@ def _keep_separator(text: str, separator: str) -> list[str]:
     return [p for p in [parts[0], *(separator + p for p in parts[1:])] if p]
 
 
-def split_sentences(text: str, size: int, overlap: int = 0, count: Callable[[str], int] | None = None, sentence: str = SENTENCE) -> list[str]:
-    """Chunks of at most `size` tokens: by paragraphs, sentences, spaces, then characters, packed greedily."""
+def split_sentences(
+    text: str, size: int, overlap: int = 0, count: Callable[[str], int] | None = None, sentence: str | Callable[[str], list[str]] = SENTENCE
+) -> list[str]:
+    """Chunks of at most `size` tokens: by paragraphs, sentences, spaces, then characters, packed greedily.
+
+    Sentences are matches of a pattern, or what a function (say, a trained splitter) makes of a text.
+    """
+    to_sentences = sentence if callable(sentence) else re.compile(sentence).findall
     count = count or (lambda t: len(t.split()))
     if not text:
         return [""]
 
     def ways(t):
         yield _keep_separator(t, PARAGRAPH)
-        yield re.findall(sentence, t)
+        yield to_sentences(t)
         yield _keep_separator(t, " ")
         yield list(t)
 
@@ -165,10 +174,12 @@ def _chunker(split: Callable[[str], list[str]]):
     return run
 
 
-def sentence_chunks(text: Column, size: int = 1024, overlap: int = 200, tokenizer: Tokenizer | None = None) -> Column:
+def sentence_chunks(
+    text: Column, size: int = 1024, overlap: int = 200, tokenizer: Tokenizer | None = None, sentence: str | Callable[[str], list[str]] = SENTENCE
+) -> Column:
     check_sizes(size, overlap)
     count = (lambda t: len(tokenizer(t))) if tokenizer else None
-    return _chunker(lambda t: split_sentences(t, size, overlap, count))(text)
+    return _chunker(lambda t: split_sentences(t, size, overlap, count, sentence))(text)
 
 
 def sentence_chunks_with_metadata(text: Column, metadata: Column, size: int = 1024, overlap: int = 200, least: int = 50) -> Column:
@@ -243,36 +254,57 @@ def sentence_windows(docs: DataFrame, width: int = 3, pattern: str = SENTENCE) -
 def nodes(docs: DataFrame, chunks: Column, metadata: Column | None = None) -> DataFrame:
     """The node table of the documents' chunks: ids, links, byte offsets that add up the chunks' lengths, and hashes.
 
-    Links and offsets are read from the row's own array.
+    Links and offsets come from the row's own array, offsets by one running sum.
     """
     own = docs.withColumn("__c", chunks).withColumn("__m", metadata if metadata is not None else F.map_from_arrays(
         F.array().cast("array<string>"), F.array().cast("array<string>")))
-    own = own.select("doc_id", "__c", "__m", F.posexplode("__c").alias("chunk_index", "text"))
+    ends = running(F.transform("__c", lambda c: F.octet_length(c)), lambda a, b: a + b, F.lit(0))
+    pairs = F.arrays_zip(F.col("__c").alias("text"), ends.alias("end"))
+    own = own.select("doc_id", "__m", F.size("__c").alias("__n"), F.posexplode(pairs).alias("chunk_index", "__p"))
+    own = own.select("doc_id", "__m", "__n", "chunk_index", F.col("__p.text").alias("text"), F.col("__p.end").alias("__end"))
     doc = F.col("doc_id").cast("string")
     node = lambda i: F.concat(doc, F.lit("-chunk-"), i.cast("string"))
     i = F.col("chunk_index")
-    before = F.aggregate(F.slice("__c", F.lit(1), i), F.lit(0), lambda a, c: a + F.octet_length(c))
     return own.select(
         node(i).alias("node_id"),
         "doc_id",
         "text",
         F.lit("TEXT").alias("node_type"),
         F.map_concat(F.map_filter("__m", lambda k, v: ~k.isin("chunk_index", "chunk_count")), F.create_map(
-            F.lit("chunk_index"), i.cast("string"), F.lit("chunk_count"), F.size("__c").cast("string"))).alias("metadata"),
+            F.lit("chunk_index"), i.cast("string"), F.lit("chunk_count"), F.col("__n").cast("string"))).alias("metadata"),
         doc.alias("source_id"),
         F.when(i > 0, node(i - 1)).alias("prev_id"),
-        F.when(i < F.size("__c") - 1, node(i + 1)).alias("next_id"),
+        F.when(i < F.col("__n") - 1, node(i + 1)).alias("next_id"),
         "chunk_index",
-        F.size("__c").alias("chunk_count"),
-        before.alias("start_char"),
-        (before + F.octet_length("text")).alias("end_char"),
+        F.col("__n").alias("chunk_count"),
+        (F.col("__end") - F.octet_length("text")).alias("start_char"),
+        F.col("__end").alias("end_char"),
         F.sha2(F.concat(F.lit("type=TEXT"), F.col("text")).cast("binary"), 256).alias("node_hash"),
     )
 
 
 def document_nodes(docs: DataFrame, order: str = "doc_id") -> DataFrame:
-    """One node for each document, linked across documents in their order (one ordered pass over ids, not texts)."""
-    ids = docs.select(F.col(order).alias("__o"))
-    w = Window.orderBy("__o")
-    links = ids.select("__o", F.lag("__o").over(w).cast("string").alias("prev_id"), F.lead("__o").over(w).cast("string").alias("next_id"))
+    """One node for each document, linked to the documents with the next smaller and larger value of `order`.
+
+    Rows that share a value share its links; a row without one has none. Values are linked inside ranges; the ranges'
+    first and last values, a few on the driver, link these.
+    """
+    kind = docs.schema[order].dataType.simpleString()
+    rows, n = ranges(docs.select(order).where(F.col(order).isNotNull()).distinct(), order)
+    ends = {r["__part"]: r for r in rows.groupBy("__part").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).collect()}
+    before, after, last = [], [None] * n, None
+    for p in range(n):
+        before.append(last)
+        last = ends[p].hi if p in ends else last
+    last = None
+    for p in reversed(range(n)):
+        after[p] = last
+        last = ends[p].lo if p in ends else last
+    w = Window.partitionBy("__part").orderBy(order)
+    edge = lambda values: F.get(F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>"), F.col("__part"))
+    links = rows.select(
+        F.col(order).alias("__o"),
+        F.coalesce(F.lag(order).over(w), edge(before)).cast("string").alias("prev_id"),
+        F.coalesce(F.lead(order).over(w), edge(after)).cast("string").alias("next_id"),
+    )
     return docs.join(links, F.col(order) == F.col("__o"), "left").drop("__o").withColumn("node_id", F.col("doc_id").cast("string"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwell.functions import parsers, vectors
-from sparkwell.operators.common import top_k
+from sparkwell.operators.common import small_side, top_k
 
 EDGE = ["subject", "relation", "object"]
 
@@ -96,5 +96,38 @@ def retrieve(
 def triplet_search(edges: DataFrame, queries: DataFrame, embed, k: int = 2) -> DataFrame:
     """The k triplets nearest to each query, by the embedding of (s, r, o)."""
     own = edges.select(F.concat(F.lit("("), F.concat_ws(", ", *EDGE), F.lit(")")).alias("triplet")).distinct()
-    scored = own.withColumn("v", embed(F.col("triplet"))).crossJoin(F.broadcast(queries.select("query_id", F.col("embedding").alias("q"))))
+    scored = own.withColumn("v", embed(F.col("triplet"))).crossJoin(small_side(queries.select("query_id", F.col("embedding").alias("q"))))
     return top_k(scored.select("query_id", "triplet", vectors.cosine(F.col("v"), F.col("q")).alias("score")), k, F.col("score"), "triplet")
+
+
+def get(edges: DataFrame, subjects: list[str] | None = None, relations: list[str] | None = None, objects: list[str] | None = None) -> DataFrame:
+    """The edges that all given lists allow."""
+    own = edges
+    for column, values in (("subject", subjects), ("relation", relations), ("object", objects)):
+        own = own if values is None else own.where(F.col(column).isin(values))
+    return own
+
+
+def property_upsert(vertices: DataFrame, new: DataFrame, key: str = "name") -> DataFrame:
+    """Vertices (key, label, properties) with the new ones in place of those of the same key, new properties added to old."""
+    old = vertices.select(key, F.col("label").alias("__l"), F.col("properties").alias("__p"))
+    none = F.create_map().cast("map<string,string>")
+    added = F.coalesce("properties", none)
+    kept = F.map_filter(F.coalesce("__p", none), lambda k, v: ~F.array_contains(F.map_keys(added), k))
+    return old.join(new, key, "full").select(key, F.coalesce("label", "__l").alias("label"), F.map_concat(kept, added).alias("properties"))
+
+
+def property_get(vertices: DataFrame, keys: list[str] | None = None, labels: list[str] | None = None, properties: dict[str, str] | None = None, key: str = "name") -> DataFrame:
+    own = vertices if keys is None else vertices.where(F.col(key).isin(keys))
+    own = own if labels is None else own.where(F.col("label").isin(labels))
+    for name, value in (properties or {}).items():
+        own = own.where(F.try_element_at("properties", F.lit(name)) == value)
+    return own
+
+
+def property_delete(vertices: DataFrame, edges: DataFrame, gone: DataFrame, key: str = "name") -> tuple[DataFrame, DataFrame]:
+    """Vertices and edges without the vertices `gone` and their edges."""
+    out = gone.select(F.col(key).alias("__g")).distinct()
+    left = vertices.join(out, F.col(key) == F.col("__g"), "left_anti")
+    kept = edges.join(out, F.col("subject") == F.col("__g"), "left_anti").join(out, F.col("object") == F.col("__g"), "left_anti")
+    return left, kept

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwell.operators.common import top_k
+from sparkwell.functions.arrays import runs
+from sparkwell.operators.common import numbered, small_side, top_k
 
 # fixed values: words that are no keywords
 STOP_WORDS = (
@@ -33,9 +36,16 @@ def words(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def extract_keywords(df: DataFrame, key: str, most: int = 10, text: str = "text") -> DataFrame:
-    """(key, word, n, rank): each text's most frequent keywords; ties in the order of the words."""
-    counts = words(df, key, text).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-    return top_k(counts, most, F.col("n"), "word", key)
+    """(key, word, n, rank): each text's most frequent keywords; ties in the order of the words.
+
+    A text's words are sorted and counted in its own row, without a shuffle.
+    """
+    trimmed = F.transform(F.split(F.lower(text), r"\s+", -1), lambda w: F.btrim(w, F.lit(PUNCTUATION)))
+    own = F.filter(trimmed, lambda w: (F.octet_length(w) >= 3) & ~w.isin(STOP_WORDS))
+    counted = runs(F.sort_array(own), lambda x, y: x != y, lambda a, i, n: F.struct((-n).alias("n"), F.get(a, i).alias("word")))
+    best = F.slice(F.sort_array(counted), 1, most)
+    rows = df.where(F.col(text).isNotNull()).select(key, F.posexplode(best).alias("rank", "w"))
+    return rows.select(key, "w.word", (-F.col("w.n")).cast("long").alias("n"), (F.col("rank") + 1).alias("rank"))
 
 
 def keyword_table(nodes: DataFrame, key: str = "node_id", most: int = 10) -> DataFrame:
@@ -43,6 +53,16 @@ def keyword_table(nodes: DataFrame, key: str = "node_id", most: int = 10) -> Dat
     return extract_keywords(nodes, key, most).select(F.col("word").alias("keyword"), key)
 
 
+def insert(table: DataFrame, nodes: DataFrame, key: str = "node_id", most: int = 10) -> DataFrame:
+    """The table with more nodes; a node that it has already gets its new keywords."""
+    return delete(table, nodes, key).unionByName(keyword_table(nodes, key, most))
+
+
+def delete(table: DataFrame, nodes: DataFrame, key: str = "node_id") -> DataFrame:
+    """The table without the nodes."""
+    return table.join(nodes.select(key).distinct(), key, "left_anti")
+
+
 def probe(table: DataFrame, queries: DataFrame, k: int = 10, key: str = "node_id", most: int = 10) -> DataFrame:
     """(query_id, node, score, rank): matched keywords over the query's keywords, the best k."""
     asked = extract_keywords(queries, "query_id", most, "query_str").select("query_id", F.col("word").alias("keyword"))
@@ -59,25 +79,43 @@ def bm25_tokens(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def bm25_fit(tf: DataFrame, key: str, n_docs: int) -> DataFrame:
-    """(term, df, idf) from term frequencies."""
-    df = tf.groupBy("term").agg(F.countDistinct(key).alias("df"))
+    """(term, df, idf) from term frequencies, one row for each key and term."""
+    df = tf.groupBy("term").agg(F.count(key).alias("df"))
     return df.withColumn("idf", F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
 
 
-def bm25_weights(docs: DataFrame, key: str = "doc_id", k1: float = 1.5, b: float = 0.75, delta: float = 0.0) -> DataFrame:
+def bm25_words(text: str, tokenize: Callable[[Column], Column] | None = None) -> Column:
+    """A text's terms as an array: by default lower-cased, ASCII word characters, without stop words."""
+    if tokenize is not None:
+        return tokenize(F.col(text))
+    parts = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9_\s]", " "), r"\s+", -1)
+    return F.filter(parts, lambda t: (t != "") & ~t.isin(BM25_STOP_WORDS))
+
+
+def bm25_weights(
+    docs: DataFrame,
+    key: str = "doc_id",
+    k1: float = 1.5,
+    b: float = 0.75,
+    delta: float = 0.0,
+    only: DataFrame | None = None,
+    tokenize: Callable[[Column], Column] | None = None,
+) -> DataFrame:
     """(key, term, weight, idf): idf * tf(k1+1) / (tf + k1(1 - b + b dl/avgdl)), plus idf * delta for BM25+.
 
-    Lengths count the terms that remain after stop words; documents without any term count in the mean.
+    Lengths count the terms that remain after stop words; documents without any term count in the mean. With `only`
+    (term), weights of these terms alone: other terms leave before they are counted or shuffled.
     """
-    tf = bm25_tokens(docs, key).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = docs.count()
-    length = tf.groupBy(key).agg(F.sum("tf").alias("dl"))
-    total = length.agg(F.sum("dl")).first()[0] or 0
-    mean = total / n if n else 0.0
-    idf = bm25_fit(tf, key, n)
-    own = tf.join(length, key).join(idf, "term")
+    own = docs.select(key, bm25_words("text", tokenize).alias("__t")).withColumn("dl", F.coalesce(F.size("__t"), F.lit(0)))
+    total = own.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("s")).first()
+    mean = (total.s or 0) / total.n if total.n else 0.0
+    terms = own.select(key, "dl", F.explode("__t").alias("term"))
+    if only is not None:
+        terms = terms.join(small_side(only.select("term").distinct(), 100_000), "term", "left_semi")
+    tf = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    idf = bm25_fit(tf, key, total.n)
     norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * (F.col("dl") / F.lit(float(mean)))))
-    return own.select(key, "term", (F.col("idf") * (norm + delta)).alias("weight"), "idf")
+    return tf.join(idf, "term").select(key, "term", (F.col("idf") * (norm + delta)).alias("weight"), "idf")
 
 
 def bm25_search(weights: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", query_weight: str = "idf") -> DataFrame:
@@ -91,10 +129,9 @@ def bm25_search(weights: DataFrame, queries: DataFrame, k: int = 10, key: str =
 
 def bm25_embedding(weights: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, indices, values, dimension): sparse vectors with terms numbered in their order."""
-    terms = weights.select("term").distinct()
-    numbered = terms.withColumn("index", F.row_number().over(Window.orderBy("term")) - 1)
+    terms = numbered(weights.select("term").distinct(), "term", "index").withColumn("index", F.col("index").cast("int"))
     n = terms.count()
-    pairs = weights.join(numbered, "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("p"))
+    pairs = weights.join(terms, "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("p"))
     return pairs.select(
         key,
         F.transform("p", lambda p: p["index"]).alias("indices"),

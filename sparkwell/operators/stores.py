@@ -32,7 +32,10 @@ class Table:
             return None
         stream = fs.open(path)
         try:
-            return bytes(stream.readAllBytes()).decode().strip()
+            name = bytes(stream.readAllBytes()).decode().strip()
+            if not name:
+                raise ValueError(f"{self.folder}/_current is empty")
+            return name
         finally:
             stream.close()
 
@@ -44,13 +47,21 @@ class Table:
         name = f"v-{uuid.uuid4().hex}"
         df.select(*self.schema.fieldNames()).write.parquet(f"{self.folder}/{name}")
         path, fs = self._file()
-        out = fs.create(path, True)
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        new = hadoop.Path(f"{self.folder}/_next-{name}")
+        out = fs.create(new, True)
         try:
             out.write(name.encode())
         finally:
             out.close()
+        # a rename that replaces: readers see the old pointer or the new one, never an empty file
+        over = self.spark._sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+        context = hadoop.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(context.makeQualified(new), context.makeQualified(path), over)
 
     def upsert(self, new: DataFrame, keys: list[str]) -> None:
+        """Rows of the keys in `new` give way to them."""
         old = self.read().join(new.select(*keys), keys, "left_anti")
         self.write(old.unionByName(new.select(*self.schema.fieldNames())))
 
@@ -58,12 +69,19 @@ class Table:
         self.write(self.read().join(ids.select(*keys), keys, "left_anti"))
 
 
+def last_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key: of several, the one whose values, written as JSON, come last."""
+    own = rows.withColumn("__row", F.to_json(F.struct(*rows.columns)))
+    w = Window.partitionBy(*keys).orderBy(F.col("__row").desc())
+    return own.withColumn("__i", F.row_number().over(w)).where("__i = 1").drop("__i", "__row")
+
+
 class KeyValueStore(Table):
     def __init__(self, spark: SparkSession, folder: str):
         super().__init__(spark, folder, "collection string, key string, value string")
 
     def put(self, rows: DataFrame) -> None:
-        self.upsert(rows, ["collection", "key"])
+        self.upsert(last_of(rows, ["collection", "key"]), ["collection", "key"])
 
     def get(self, key: str, collection: str = "data") -> dict | None:
         row = self.read().where((F.col("collection") == collection) & (F.col("key") == key)).first()
@@ -82,7 +100,7 @@ class DocumentStore(Table):
     def add(self, nodes: DataFrame, allow_update: bool = True) -> None:
         if not allow_update and not nodes.join(self.read(), "node_id", "left_semi").isEmpty():
             raise ValueError("a node exists already and updates are not allowed")
-        self.upsert(nodes, ["node_id"])
+        self.upsert(last_of(nodes, ["node_id"]), ["node_id"])
 
     def lookup(self, wanted: DataFrame) -> DataFrame:
         """Rows of (pos, node_id) in order of pos; missing ids are left out."""
@@ -117,7 +135,8 @@ class VectorStore(Table):
     def add(self, nodes: DataFrame) -> None:
         if not nodes.where("node_id is null or node_id = ''").isEmpty():
             raise ValueError("every node needs an id")
-        self.upsert(nodes.withColumn("embedding", F.col("embedding").cast("array<float>")), ["node_id"])
+        nodes = last_of(nodes.withColumn("embedding", F.col("embedding").cast("array<float>")), ["node_id"])
+        self.upsert(nodes, ["node_id"])
 
     def delete_nodes(self, ids: DataFrame) -> None:
         self.delete(ids, ["node_id"])
@@ -128,7 +147,7 @@ class IndexStore(Table):
         super().__init__(spark, folder, "index_id string, kind string, summary string, location string")
 
     def put(self, rows: DataFrame) -> None:
-        self.upsert(rows, ["index_id"])
+        self.upsert(last_of(rows, ["index_id"]), ["index_id"])
 
     def get(self, index_id: str | None = None):
         rows = self.read() if index_id is None else self.read().where(F.col("index_id") == index_id)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwell.functions import text, vectors
-from sparkwell.operators.common import ordered_list, top_k
+from sparkwell.operators.common import ordered_list, small_side, top_k
 
 
 def build(leaves: DataFrame, fan_out: int = 10, summarize=None) -> DataFrame:
@@ -58,7 +58,7 @@ def children(tree: DataFrame) -> DataFrame:
 def select_leaves(tree: DataFrame, queries: DataFrame, embed, beam: int = 1, depth: int | None = None) -> DataFrame:
     """From the roots down, the `beam` children nearest to each query at every level; the leaves that are reached."""
     own = tree.withColumn("embedding", embed(F.col("text")))
-    asked = F.broadcast(queries.select("query_id", F.col("embedding").alias("q")))
+    asked = small_side(queries.select("query_id", F.col("embedding").alias("q")))
     depth = tree.agg(F.max("level")).first()[0] if depth is None else depth
 
     def best(rows: DataFrame) -> DataFrame:
@@ -79,4 +79,29 @@ def choice_prompt(tree: DataFrame, queries: DataFrame) -> DataFrame:
     listed = F.array_join(ordered_list(text.head_bytes(F.col("text"), 500), F.col("pos")), "\n")
     groups = tree.groupBy("parent_id").agg(listed.alias("choices"))
     prompt = text.format_prompt("{choices}\n\nWhich answers: {query}?", {"choices": F.col("choices"), "query": F.col("query_str")})
-    return groups.crossJoin(F.broadcast(queries)).select("query_id", "parent_id", prompt.alias("prompt"))
+    return groups.crossJoin(small_side(queries)).select("query_id", "parent_id", prompt.alias("prompt"))
+
+
+def choose_leaves(tree: DataFrame, queries: DataFrame, model, depth: int = 10) -> DataFrame:
+    """(query_id, node_id, score): from the roots down, the child that a model names by its number; the leaf reached.
+
+    An answer without a number of the list takes the first child. One round for each level.
+    """
+    listed = F.array_join(ordered_list(F.concat(F.lit("("), F.col("i").cast("string"), F.lit(") "), text.head_bytes(F.col("text"), 500)), F.col("i")), "\n")
+    within = Window.partitionBy("query_id").orderBy("pos")
+    rows = tree.where("parent_id is null").crossJoin(small_side(queries.select("query_id", "query_str")))
+    out = None
+    for _ in range(depth):
+        offered = rows.withColumn("i", F.row_number().over(within))
+        asked = offered.groupBy("query_id", "query_str").agg(listed.alias("choices"), F.count(F.lit(1)).alias("n"))
+        prompt = text.format_prompt("{choices}\n\nWhich answers: {query}?", {"choices": F.col("choices"), "query": F.col("query_str")})
+        named = F.regexp_extract(model(prompt), r"(\d+)", 1).try_cast("int")
+        taken = asked.select("query_id", F.when(named.between(1, F.col("n")), named).otherwise(F.lit(1)).alias("i"))
+        found = offered.join(taken, ["query_id", "i"])
+        leaves = found.where("level = 0").select("query_id", "node_id", F.lit(1.0).alias("score"))
+        out = leaves if out is None else out.unionByName(leaves)
+        up = found.where("level > 0").select("query_id", "query_str", F.col("node_id").alias("parent_id"))
+        if up.isEmpty():
+            break
+        rows = tree.join(up, "parent_id")
+    return out

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkwell.functions.models import echo, hash_embedding
 from sparkwell.operators import chunking, keywords, retrieval, synthesis, tree
+from sparkwell.operators.common import numbered
 
 #: Settings of each index kind: hits, and how answers are made.
 DEFAULTS = {
@@ -62,7 +63,6 @@ class Engine:
         return synthesis.synthesize(mode or DEFAULTS[self.kind][1], chunks, queries, self.settings.model, self.settings.call)
 
     def tree(self, fan_out: int = 10) -> DataFrame:
-        from pyspark.sql import Window
-
-        pos = F.row_number().over(Window.orderBy("source_id", "chunk_index")) - 1
-        return tree.build(self.nodes.select("node_id", "source_id", "chunk_index", "text").withColumn("pos", pos), fan_out)
+        place = F.concat_ws("/", "source_id", F.lpad(F.col("chunk_index").cast("string"), 9, "0"))
+        leaves = numbered(self.nodes.select("node_id", "text", place.alias("__place")), "__place")
+        return tree.build(leaves.select("node_id", "pos", "text"), fan_out)

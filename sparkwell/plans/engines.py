@@ -36,7 +36,7 @@ def sub_questions(engines: dict[str, Ask], queries: DataFrame, plan: Callable[[C
     """
     asked = queries.select("query_id", F.posexplode(parsers.bracketed_questions(plan(F.col("query_str")))).alias("pos", "s"))
     asked = asked.select("query_id", "pos", F.col("s.tool").alias("tool"), F.col("s.question").alias("sub_question"))
-    asked = asked.withColumn("sub_id", F.col("query_id") * 1000 + F.col("pos"))
+    asked = asked.withColumn("sub_id", F.xxhash64("query_id", "pos"))
     parts = []
     for name, ask in engines.items():
         own = asked.where(F.col("tool") == name)

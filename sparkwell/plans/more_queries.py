@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparkwell.functions import parsers, text, vectors
 from sparkwell.functions.models import echo, fixed, hash_embedding
 from sparkwell.operators import chunking, evaluation, extractors, graph, memory, postprocess, retrieval, synthesis, tree
-from sparkwell.plans.queries import _EDGES, _PROBE, _TOP, _asked, _docs, _edges, _probe, _t, _top, _vectors, query
+from sparkwell.plans.queries import _EDGES, _PROBE, _TOP, _asked, _docs, _edges, _leaves, _probe, _t, _top, _vectors, query
 
 
 @query(f"""WITH {_EDGES}, new AS (SELECT s_name AS subject, 'based in' AS relation, n_name AS object FROM supplier JOIN nation ON s_nationkey = n_nationkey)
@@ -29,10 +29,12 @@ def substring_elimination(spark, sf):
     return graph.without_substrings(_t(spark, sf, "part"), "p_brand", "p_type")
 
 
-@query(None)
+# the region names are plain words, so these are found
+@query(f"""WITH {_EDGES}, t AS (SELECT DISTINCT r_regionkey, subject, relation, object FROM region JOIN edges ON lower(subject) = regexp_replace(lower(r_name), '[^a-z0-9]', '', 'g'))
+SELECT r_regionkey::BIGINT AS query_id, coalesce((SELECT string_agg('[' || subject || ', ' || relation || ', ' || object || ']', chr(10) ORDER BY subject, relation, object) FROM t WHERE t.r_regionkey = region.r_regionkey), 'No relationships found.') AS texts FROM region""")
 def graph_retrieval(spark, sf):
     edges = _edges(spark, sf)
-    asked = _t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.lit("what about "), "n_name").alias("query_str"))
+    asked = _t(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("query_id"), F.concat(F.lit("What is the "), "r_name", F.lit("?")).alias("query_str"))
     return graph.retrieve(edges, graph.entity_nodes(edges.withColumn("node_id", F.col("relation"))), asked)[1]
 
 
@@ -67,9 +69,9 @@ def hybrid_similarity(spark, sf):
     return own.select("vec_id", F.round(vectors.hybrid_similarity(F.col("x"), F.col("y"), F.col("a"), F.col("b"), 0.3), 6).alias("sim"))
 
 
-@query("SELECT item_id AS query_id, doc_id, 1.0::DOUBLE AS score FROM benchmark, documents WHERE lang = 'es'")
+@query("SELECT item_id AS query_id, doc_id, 1.0::DOUBLE AS score FROM benchmark, documents")
 def summary_index(spark, sf):
-    return retrieval.everything(_docs(spark, sf).where("lang = 'es'"), _asked(spark, sf), "doc_id")
+    return retrieval.list_index(_docs(spark, sf), _asked(spark, sf), key="doc_id")
 
 
 def _chunks(spark, sf):
@@ -100,12 +102,22 @@ def accumulate_synthesis(spark, sf):
     return own.select("query_id", F.md5(F.col("response").cast("binary")).alias("response"))
 
 
-@query(None)
+@query("SELECT DISTINCT conv_id AS query_id, 'summary' AS response FROM conversations")
 def tree_summarize_synthesis(spark, sf):
     return synthesis.tree_summarize(_chunks(spark, sf), _queries(spark, sf), fixed("summary"))
 
 
-@query(None)
+_BARE_QA = len(synthesis.QA.replace("{context_str}", "").replace("{query_str}", ""))
+_BARE_REFINE = len(synthesis.REFINE.replace("{context_msg}", "").replace("{query_str}", "").replace("{existing_answer}", ""))
+_PACKS = """c AS (SELECT conv_id, text, strlen(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+k AS (SELECT conv_id, i, 0 AS pack, n AS size FROM c WHERE i = 1
+ UNION ALL SELECT c.conv_id, c.i, CASE WHEN size = 0 OR size + 2 + n > 4096 THEN pack + 1 ELSE pack END, CASE WHEN size = 0 OR size + 2 + n > 4096 THEN n ELSE size + 2 + n END FROM k JOIN c ON c.conv_id = k.conv_id AND c.i = k.i + 1),
+p AS (SELECT k.conv_id, pack, length(string_agg(text, chr(10) || chr(10) ORDER BY c.i)) AS n FROM k JOIN c ON k.conv_id = c.conv_id AND k.i = c.i GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {_PACKS}, a AS (SELECT conv_id, pack, (n + {_BARE_QA} + length('q' || conv_id))::VARCHAR AS answer FROM p WHERE pack = 0
+ UNION ALL SELECT p.conv_id, p.pack, (p.n + {_BARE_REFINE} + length('q' || p.conv_id) + length(answer))::VARCHAR FROM a JOIN p ON p.conv_id = a.conv_id AND p.pack = a.pack + 1)
+SELECT conv_id AS query_id, arg_max(answer, pack) AS response FROM a GROUP BY conv_id""")
 def refine_synthesis(spark, sf):
     return synthesis.compact_and_refine(_chunks(spark, sf), _queries(spark, sf), lambda prompt: str(len(prompt)))
 
@@ -157,13 +169,13 @@ def gap_filling(spark, sf):
     return retrieval.fill_gaps(ranked, nodes)
 
 
-@query("SELECT source AS source_id, md5(string_agg(left(text, 20), ', ' ORDER BY doc_id)) AS title FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 5 GROUP BY source")
+@query("""WITH c AS (SELECT source, 'Give a title for:' || chr(10) || text AS c, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+t AS (SELECT source, string_agg(c, ', ' ORDER BY r) || chr(10) || 'Best title:' AS t FROM c WHERE r <= 5 GROUP BY source)
+SELECT doc_id, md5(t) AS title FROM documents JOIN t USING (source)""")
 def title_candidates(spark, sf):
-    from sparkwell.operators.common import ordered_list
-
-    own = extractors.first_nodes(_docs(spark, sf), 5, "source", "doc_id")
-    joined = own.groupBy(F.col("source").alias("source_id")).agg(F.array_join(ordered_list(F.substring("text", 1, 20), F.col("doc_id")), ", ").alias("t"))
-    return joined.select("source_id", F.md5(F.col("t").cast("binary")).alias("title"))
+    nodes = _docs(spark, sf).select("doc_id", F.col("source").alias("source_id"), F.col("doc_id").alias("pos"), "text", F.create_map(F.lit("k"), F.lit("v")).alias("metadata"))
+    own = extractors.titles(nodes, echo)
+    return own.select("doc_id", F.md5(F.element_at("metadata", F.lit("document_title")).cast("binary")).alias("title"))
 
 
 @query("SELECT source AS query_id, round(avg(quality), 9) AS score, avg(quality) > 0.5 AS passing FROM labels JOIN documents USING (doc_id) GROUP BY source")
@@ -185,10 +197,18 @@ def score_scaling(spark, sf):
     return _t(spark, sf, "labels").select("doc_id", parsers.unit_score(q).alias("low"), parsers.five_score(q).alias("high"))
 
 
-@query(None)
+_HASHED = """c AS (SELECT {key}, {text} AS t FROM {table}),
+b AS (SELECT {key}, unnest(list_transform(string_split(t, ''), lambda x: unicode(x))) AS u, unnest(list_transform(string_split(t, ''), lambda x: strlen(x))) AS w, unnest(range(1, length(t) + 1)) AS i FROM c WHERE t <> ''),
+o AS (SELECT {key}, u, i, coalesce(sum(w) OVER (PARTITION BY {key} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM b)"""
+
+
+@query("WITH " + _HASHED.format(key="item_id", text="text", table="benchmark") + """, u AS (SELECT item_id, place % 64 AS p, sum(u / 1000.0) AS x, sum(CASE u WHEN 101 THEN 97 WHEN 32 THEN 95 ELSE u END / 1000.0) AS y FROM o GROUP BY ALL),
+s AS (SELECT item_id, sum(x * y) / sqrt(sum(x * x) * sum(y * y)) AS s FROM u GROUP BY item_id)
+SELECT item_id AS query_id, 'semantic_similarity' AS evaluator, round(s, 6) AS score, s >= 0.8 AS passing FROM s""")
 def semantic_similarity(spark, sf):
-    rows = _asked(spark, sf).select("query_id", F.col("query_str").alias("response"), F.upper("query_str").alias("reference"))
-    return evaluation.semantic_similarity(hash_embedding(64))(rows)
+    rows = _asked(spark, sf).select("query_id", F.col("query_str").alias("response"), F.translate("query_str", "e ", "a_").alias("reference"))
+    own = evaluation.semantic_similarity(hash_embedding(64))(rows)
+    return own.select("query_id", "evaluator", F.round("score", 6).alias("score"), "passing")
 
 
 @query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2")
@@ -212,12 +232,9 @@ def choice_lists(spark, sf):
 
 @query(None)
 def tree_select_leaf(spark, sf):
-    from pyspark.sql import Window
-
-    leaves = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("node_id"), (F.row_number().over(Window.orderBy("doc_id")) - 1).alias("pos"), "text")
     embed = hash_embedding(64)
     asked = _asked(spark, sf).select("query_id", embed(F.col("query_str")).alias("embedding"))
-    return tree.select_leaves(tree.build(leaves), asked, embed, 1)
+    return tree.select_leaves(tree.build(_leaves(spark, sf)), asked, embed, 1)
 
 
 @query(None)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwell.functions import filters, parsers, pii, recency, text, vectors
@@ -24,6 +24,7 @@ from sparkwell.operators import (
     synthesis,
     tree,
 )
+from sparkwell.operators.common import numbered
 from sparkwell.sources import readers
 from sparkwell.streaming import incremental
 
@@ -122,8 +123,8 @@ def vector_functions(spark, sf):
 @query("""SELECT label, p AS pos, round(avg(embedding[p + 1]::DOUBLE), 6) AS mean
 FROM embeddings, range(0, 64) t(p) GROUP BY label, p""")
 def vector_mean(spark, sf):
-    own = _vectors(spark, sf)[0].select("label", F.posexplode(vectors.doubles(F.col("embedding"))).alias("pos", "x"))
-    return own.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(F.round(F.avg("x"), 6).alias("mean"))
+    own = vectors.mean(_vectors(spark, sf)[0], "label").select("label", F.posexplode("embedding").alias("pos", "x"))
+    return own.select("label", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("mean"))
 
 
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
@@ -194,7 +195,8 @@ bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 
 
 def _bm25(spark, sf):
-    return keywords.bm25_search(keywords.bm25_weights(_docs(spark, sf)), _asked(spark, sf), 10)
+    asked = _asked(spark, sf)
+    return keywords.bm25_search(keywords.bm25_weights(_docs(spark, sf), only=keywords.bm25_tokens(asked, "query_id", "query_str")), asked, 10)
 
 
 @query(f"WITH {_BM} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM bm")
@@ -344,12 +346,18 @@ def pii_filter(spark, sf):
     return pii.drop_pii(_docs(spark, sf)).select("doc_id")
 
 
-@query(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS pii_type, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents" for k, (p, _) in pii.PATTERNS.items()))
+_PII = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS pii_type, regexp_extract_all(text, '{p}') AS h, regexp_split_to_array(text, '{p}') AS g FROM documents" for k, (p, _) in pii.PATTERNS.items())
+
+
+@query(f"""WITH m AS ({_PII}), e AS (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM m),
+p AS (SELECT doc_id, pii_type, h[i] AS value, (list_sum(list_transform(g[1:i], lambda x: strlen(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: strlen(x))), 0))::BIGINT AS a FROM e)
+SELECT doc_id, pii_type, value, a AS start_byte, a + strlen(value) AS end_byte FROM p""")
 def pii_detect(spark, sf):
-    return pii.detect(_docs(spark, sf), "doc_id").select("doc_id", "pii_type", "value")
+    own = pii.detect(_docs(spark, sf), "doc_id")
+    return own.select("doc_id", "pii_type", "value", F.col("start").cast("long").alias("start_byte"), F.col("end").cast("long").alias("end_byte"))
 
 
-@query("SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '' AND lower(w) NOT IN (" + ", ".join(f"'{w}'" for w in text.COMPRESSED_AWAY) + ")), ' ')) AS text_md5 FROM documents")
+@query("SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '' AND list_position(string_split('a an the and or but in on at to for of with by from as is was are were been be have has had do does did will would could should may might must shall can need this that these those i you he she it we they what which who whom when where why how all each every both few more most other some such no nor not only own same so than too very just also now here there', ' '), lower(w)) IS NULL), ' ')) AS text_md5 FROM documents")
 def text_compression(spark, sf):
     return _docs(spark, sf).select("doc_id", F.md5(text.compressed(F.col("text"), True).cast("binary")).alias("text_md5"))
 
@@ -513,10 +521,13 @@ SELECT CASE WHEN level = 0 THEN d.doc_id::VARCHAR ELSE 'summary-' || level || '-
 FROM (SELECT level, n, unnest(range(0, n)) AS pos FROM t) x LEFT JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents) d ON level = 0 AND p = pos"""
 
 
+def _leaves(spark, sf):
+    return numbered(_docs(spark, sf), "doc_id").select(F.col("doc_id").cast("string").alias("node_id"), "pos", "text")
+
+
 @query(_LEVELS)
 def tree_build(spark, sf):
-    leaves = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("node_id"), (F.row_number().over(Window.orderBy("doc_id")) - 1).alias("pos"), "text")
-    return tree.build(leaves).select("node_id", F.col("level").cast("long").alias("level"), "pos", "parent_id")
+    return tree.build(_leaves(spark, sf)).select("node_id", F.col("level").cast("long").alias("level"), "pos", "parent_id")
 
 
 @query("""WITH h AS (SELECT quality AS query_id, d.source, d.doc_id::VARCHAR AS node_id, n_chars::DOUBLE AS score FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.lang <> 'fr'),
@@ -569,14 +580,14 @@ def triplet_parse(spark, sf):
     return graph.extract(own.select(F.col("c_custkey").alias("node_id"), told.alias("t")), F.col("t"))
 
 
-@query(f"""WITH {_EDGES} SELECT lower(object) AS entity, count(DISTINCT subject) AS n_nodes FROM edges GROUP BY lower(object)""")
+@query(f"""WITH {_EDGES}, e AS (SELECT subject AS entity, subject AS node_id FROM edges UNION SELECT object, subject FROM edges)
+SELECT entity, count(DISTINCT node_id) AS n_nodes, min(node_id) AS first_node FROM e GROUP BY entity""")
 def entity_nodes(spark, sf):
     own = graph.entity_nodes(_edges(spark, sf).withColumn("node_id", F.col("subject")))
-    objects = _edges(spark, sf).select(F.col("object").alias("entity")).distinct()
-    return own.join(objects, "entity").join(_edges(spark, sf).select(F.col("object").alias("entity"), F.col("subject").alias("node_id")).distinct(), ["entity", "node_id"]).groupBy(F.lower("entity").alias("entity")).agg(F.countDistinct("node_id").alias("n_nodes"))
+    return own.groupBy("entity").agg(F.count("node_id").alias("n_nodes"), F.min("node_id").alias("first_node"))
 
 
-@query("""SELECT item_id AS query_id, array_to_string(list_filter(list_transform(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''), lambda w: regexp_replace(w, '[^a-z0-9]', '', 'g')), lambda w: length(w) > 2)[1:10], ',') AS keywords FROM benchmark""")
+@query("""SELECT item_id AS query_id, array_to_string(list_filter(list_transform(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''), lambda w: regexp_replace(w, '[^a-z0-9]', '', 'g')), lambda w: length(w) > 2 AND list_position(string_split('the a an is are was were be been being have has had do does did will would could should may might must shall of in to for with on at by from as and or but if then that which who whom whose this these those it its what when where why how', ' '), w) IS NULL)[1:10], ',') AS keywords FROM benchmark""")
 def query_keywords(spark, sf):
     return _asked(spark, sf).select("query_id", F.array_join(parsers.query_keywords(F.col("query_str")), ",").alias("keywords"))
 

@@ -125,11 +125,22 @@ def json_documents(values: DataFrame, text_key: str | None = None, metadata_keys
 
 
 def json_files(spark: SparkSession, path: str, text_key: str | None = None, metadata_keys: list[str] | None = None) -> DataFrame:
-    """An array gives a document for each element, an object one, a .jsonl file one for each line that isn't blank."""
-    files = whole_files(spark, path, GLOBS["json"])
-    lined = F.endswith(F.lower("name"), F.lit(".jsonl"))
-    line = files.where(lined).select("path", F.posexplode(F.split("content", "\n")).alias("index", "value")).where(F.trim("value") != "")
-    whole = files.where(~lined)
+    """An array gives a document for each element, an object one, a .jsonl file one for each line that isn't blank.
+
+    Lines are read as such, so a large .jsonl file is many tasks; a line's index is its number among those of the file.
+    """
+    reader = spark.read.option("recursiveFileLookup", True)
+    place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value")]
+    read = reader.option("pathGlobFilter", "*.[jJ][sS][oO][nN][lL]").text(path).select(*place)
+    lines = read.withColumn("at", F.monotonically_increasing_id()).withColumn("held", (F.trim("value") != "").cast("long"))
+    # a block's lines are in order in one task; blocks are numbered one after the other from their sizes
+    sizes = lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    first = sizes.select(F.col("path").alias("__p"), F.col("block").alias("__b"), F.coalesce(before, F.lit(0)).alias("first"))
+    inside = F.row_number().over(Window.partitionBy("path", "block").orderBy("at")) - 1
+    numbered = lines.withColumn("i", inside).join(first, (F.col("path") == F.col("__p")) & (F.col("block") == F.col("__b")))
+    line = numbered.where("held = 1").select("path", (F.col("first") + F.col("i")).cast("int").alias("index"), "value")
+    whole = whole_files(spark, path, "*.[jJ][sS][oO][nN]")
     many = F.from_json("content", "array<string>")
     rest = whole.select("path", F.posexplode(F.when(F.rlike("content", F.lit(r"^\s*\[")), many).otherwise(F.array("content"))).alias("index", "value"))
     # parse_json fails on a broken value

@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-import sparkwell.plans.more_queries  # noqa: F401  registers its queries
+import sparkwell.plans.more_queries
+import sparkwell.plans.operator_queries  # noqa: F401  register their queries
 from sparkwell.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
