@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparkwell.functions import parsers, text, vectors
 from sparkwell.functions.models import echo, fixed, hash_embedding
 from sparkwell.operators import chunking, evaluation, extractors, graph, memory, postprocess, retrieval, synthesis, tree
-from sparkwell.plans.queries import _EDGES, _PROBE, _TOP, _asked, _docs, _edges, _leaves, _probe, _t, _top, _vectors, query
+from sparkwell.plans.queries import _EDGES, _PROBE, _SCORED, _TOP, _asked, _docs, _edges, _leaves, _probe, _t, _top, _vectors, query
 
 
 @query(f"""WITH {_EDGES}, new AS (SELECT s_name AS subject, 'based in' AS relation, n_name AS object FROM supplier JOIN nation ON s_nationkey = n_nationkey)
@@ -141,10 +141,19 @@ def llm_rerank(spark, sf):
     return out.select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE t AS ({_SCORED.format(score="coalesce(list_cosine_similarity(q.e, n.e), 0)", where="", k=10).replace("round(score, 6) AS score", "round(score, 12) AS score")}),
+c AS (SELECT t.*, e.embedding::DOUBLE[] AS e FROM t JOIN embeddings e ON t.vec_id = e.vec_id),
+s AS (SELECT a.query_id, a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS sim FROM c a JOIN c b ON a.query_id = b.query_id),
+r AS (SELECT query_id, 0 AS step, []::BIGINT[] AS picked, []::DOUBLE[] AS told FROM c GROUP BY query_id
+ UNION ALL SELECT query_id, step, picked || [w.vec_id], told || [w.value] FROM (
+  SELECT query_id, step + 1 AS step, picked, told, arg_max(struct_pack(vec_id := vec_id, value := value), value) AS w FROM (
+   SELECT r.query_id, r.step, r.picked, r.told, c.vec_id, 0.5 * any_value(c.score) - 0.5 * greatest(coalesce(max(s.sim) FILTER (list_contains(r.picked, s.b)), 0), 0) AS value
+   FROM r JOIN c ON r.query_id = c.query_id AND NOT list_contains(r.picked, c.vec_id) JOIN s ON s.query_id = c.query_id AND s.a = c.vec_id WHERE r.step < 5 GROUP BY ALL) GROUP BY ALL))
+SELECT query_id, unnest(picked) AS vec_id, round(unnest(told), 6) + 0.0::DOUBLE AS score, unnest(range(1, 6)) AS rank FROM r WHERE step = 5""")
 def mmr_rerank(spark, sf):
     own = _top(spark, sf).join(_vectors(spark, sf)[0].select("vec_id", "embedding"), "vec_id")
-    return retrieval.mmr(own, 5, 0.5, "vec_id")
+    out = retrieval.mmr(own, 5, 0.5, "vec_id")
+    return out.select("query_id", "vec_id", (F.round("score", 6) + F.lit(0.0)).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {_PROBE} SELECT query_id, CASE WHEN d.lang = 'de' THEN 'target-' || d.source ELSE d.doc_id::VARCHAR END AS node_id, round(max(score), 6) AS score
@@ -216,12 +225,21 @@ def memory_last_turns(spark, sf):
     return memory.last_turns(_t(spark, sf, "conversations"), 2).select("conv_id", "turn", "role")
 
 
-@query(None)
+_BATCHES = """bt AS (SELECT *, sum((role IN ('user', 'system'))::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS batch FROM conversations),
+bb AS (SELECT conv_id * 1000 + batch AS id, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS t FROM bt GROUP BY ALL
+ UNION ALL SELECT -1 - conv_id, coalesce(text, '') FROM conversations WHERE turn = 0)"""
+
+
+@query("WITH " + _BATCHES + ", " + _HASHED.format(key="id", text="t", table="bb") + """, u AS (SELECT id, place % 64 AS p, sum(u / 1000.0) AS x FROM o GROUP BY ALL),
+n AS (SELECT id, sqrt(sum(x * x)) AS n FROM u GROUP BY id),
+s AS (SELECT -1 - q.id AS query_id, b.id % 1000 AS batch, coalesce(sum(a.x * c.x) / any_value(q.n) / any_value(b.n), 0) AS score
+ FROM n q JOIN n b ON q.id < 0 AND b.id >= 0 AND b.id // 1000 = -1 - q.id JOIN u a ON a.id = q.id JOIN u c ON c.id = b.id AND c.p = a.p GROUP BY q.id, b.id)
+SELECT query_id, batch::BIGINT AS batch, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, batch) AS rank FROM s QUALIFY rank <= 2""")
 def memory_recall(spark, sf):
     embed = hash_embedding(64)
     turns = _t(spark, sf, "conversations")
     asked = turns.where("turn = 0").select("conv_id", F.col("conv_id").alias("query_id"), embed(F.col("text")).alias("embedding"))
-    return memory.recall(turns, asked, embed, 2).select("query_id", "batch", "rank")
+    return memory.recall(turns, asked, embed, 2).select("query_id", "batch", F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT n_regionkey AS region, string_agg('(' || i || ') ' || n_name, chr(10) ORDER BY i) AS listed FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS i FROM nation) GROUP BY n_regionkey")
@@ -237,9 +255,21 @@ def tree_select_leaf(spark, sf):
     return tree.select_leaves(tree.build(_leaves(spark, sf)), asked, embed, 1)
 
 
-@query(None)
+@query("""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents),
+e AS (SELECT doc_id, unnest(w) AS p, unnest(range(0, len(w))) AS i FROM w),
+n AS (SELECT doc_id, i, len(list_filter(regexp_split_to_array(p, '\\s+'), lambda x: x <> '')) AS n FROM e),
+c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS upto FROM n),
+f AS (SELECT doc_id, upto, min(i) AS i, arg_min(n, i) AS n FROM c GROUP BY doc_id, upto),
+b AS (SELECT doc_id, upto - n AS before, min(i) AS i FROM c GROUP BY ALL),
+x AS (SELECT c.doc_id, c.i AS s, c.upto - c.n + 201 AS want FROM c),
+y AS (SELECT x.doc_id, x.s, f.i, greatest(f.upto - f.n - 20, f.upto - 200) AS want FROM x ASOF JOIN f ON x.doc_id = f.doc_id AND f.upto >= x.want),
+z AS (SELECT y.doc_id, y.s, y.i, b.i AS s2 FROM y ASOF JOIN b ON y.doc_id = b.doc_id AND b.before >= y.want),
+r AS (SELECT doc_id, 0 AS k, 0::BIGINT AS s FROM w WHERE len(w) > 0 UNION ALL SELECT r.doc_id, k + 1, z.s2 FROM r JOIN z ON r.doc_id = z.doc_id AND r.s = z.s)
+SELECT r.doc_id, k::BIGINT AS chunk_index, md5(array_to_string(w[r.s + 1 : coalesce(z.i, len(w))], ' ')) AS text_md5
+FROM r JOIN w ON r.doc_id = w.doc_id LEFT JOIN z ON z.doc_id = r.doc_id AND z.s = r.s""")
 def token_chunks(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.posexplode(chunking.token_chunks(F.col("text"), 200, 20)).alias("chunk_index", "text"))
+    own = _docs(spark, sf).select("doc_id", F.posexplode(chunking.token_chunks(F.col("text"), 200, 20)).alias("chunk_index", "text"))
+    return own.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query(None)
