@@ -42,7 +42,7 @@ CHUNKS = 8
 #: Blocks whose names are broadcast at most.
 LARGE = 100_000
 #: Buckets of shingles for each shuffle partition; a worker holds one bucket at a time.
-SPLIT = 8
+SPLIT = 2
 #: Bytes of text that are hashed at once.
 SLICE = 2_000_000
 #: Bytes kept of a shingle's hash in the packed form; its bucket holds more of it.
@@ -132,7 +132,18 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-_ENTRY = np.dtype([("key", "<i8"), ("size", "<u4"), ("count", "<u4")])
+_ENTRY = np.dtype([("key", "<i8"), ("size", "<u4"), ("count", "u1")])
+
+
+def _entries(keys: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Set by set how many of the hashes are its own; a set with more than 255 has several entries."""
+    many = -(-counts // 255)
+    entry = np.empty(int(many.sum()), _ENTRY)
+    entry["key"], entry["size"], entry["count"] = np.repeat(keys, many), np.repeat(sizes, many), 255
+    entry["count"][np.cumsum(many) - 1] = counts - 255 * (many - 1)
+    return entry.tobytes()
+
+
 _DEALT = "bucket int, doc_id long, set_key long, n int, entries binary, hashes binary"
 
 
@@ -175,11 +186,9 @@ def _deal(buckets: int):
                 rows = []
                 for lo, hi in zip(np.append(0, edges), np.append(edges, len(bucket)), strict=True):
                     turn = np.append(0, np.flatnonzero(np.diff(of[lo:hi])) + 1)
-                    entry = np.empty(len(turn), _ENTRY)
-                    entry["key"] = keys[of[lo:hi][turn]]
-                    entry["size"] = np.array(n)[of[lo:hi][turn]]
-                    entry["count"] = np.diff(np.append(turn, hi - lo))
-                    rows.append((int(bucket[lo]), None, None, None, entry.tobytes(), _packed(hashes[lo:hi])))
+                    own = of[lo:hi][turn]
+                    told = _entries(keys[own], np.array(n)[own], np.diff(np.append(turn, hi - lo)))
+                    rows.append((int(bucket[lo]), None, None, None, told, _packed(hashes[lo:hi])))
                 yield _batch(names, kinds, list(zip(*rows, strict=True)))
 
     return run
@@ -240,12 +249,9 @@ def _find_shared(buckets: int):
             for lo, hi in zip(np.append(0, edges), np.append(edges, len(of)), strict=True):
                 if hi > lo:
                     turn = np.append(0, np.flatnonzero(np.diff(of[lo:hi])) + 1)
-                    entry = np.empty(len(turn), _ENTRY)
-                    entry["key"], entry["size"] = keys[of[lo:hi][turn]], sizes[of[lo:hi][turn]]
-                    entry["count"] = np.diff(np.append(turn, hi - lo))
-                    rows.append(
-                        (int(to[of[lo]]), None, None, None, entry.tobytes(), hashes[lo:hi].tobytes(), frequency[lo:hi].tobytes())
-                    )
+                    own = of[lo:hi][turn]
+                    told = _entries(keys[own], sizes[own], np.diff(np.append(turn, hi - lo)))
+                    rows.append((int(to[of[lo]]), None, None, None, told, hashes[lo:hi].tobytes(), frequency[lo:hi].tobytes()))
             if rows:
                 yield _batch(_SHARED_NAMES, _SHARED_KINDS, list(zip(*rows, strict=True)))
 
