@@ -11,6 +11,8 @@ from sparkwell.llm.common import whole_text
 
 #: Rows of one shard are numbered in so many independent parts.
 PARTS = 256
+#: Copies of one row that one task writes out.
+BLOCK = 4096
 
 
 def _score(key: Column, shard: int, weight: float) -> Column:
@@ -39,7 +41,8 @@ def shard_documents(
     each shard without gaps) and grown_shard. A null text has no bytes, a null doc_id is a key like any other,
     repeated rows each get a slot, an empty table gives an empty result; other columns are ignored.
 
-    Equal rows are counted before the shuffle, so a repeated row costs its partition one row. Slots come from a
+    Equal rows are counted before the shuffle, so a repeated row costs its partition one row; its copies are dealt out
+    again in blocks. A very long text counts by its size and checksum only. Slots come from a
     numbering inside `parts` parts of each shard and the parts' offsets (shards * parts rows, hence broadcast),
     so no shard is ever sorted by one task.
     """
@@ -67,9 +70,13 @@ def shard_documents(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     placed = rows.withColumn("earlier", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
+    # a row with very many copies is dealt to several tasks before it is written out
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(BLOCK).cast("long")))
     return (
         placed.join(F.broadcast(offsets), ["shard", "part"])
-        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        .withColumn("block", block)
+        .repartition("doc_id", "text_crc32", "block")
+        .withColumn("copy", F.explode(F.sequence("block", F.least(F.col("block") + BLOCK, F.col("copies")) - 1)))
         .select(
             "doc_id",
             "size",

@@ -156,6 +156,38 @@ def test_sharding_laws(docs):
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
 
 
+def test_shards_are_those_of_a_second_implementation(spark):
+    import math
+    import struct
+
+    import xxhash
+
+    def plain(doc_id, weights):
+        key = xxhash.xxh64(struct.pack("<q", doc_id), seed=42).intdigest() if doc_id is not None else 42
+        best = (-1.0, 0)
+        for i, w in enumerate(weights):
+            bits = xxhash.xxh64(struct.pack("<i", i), seed=key).intdigest() >> 12
+            best = max(best, (-w / math.log((bits + 0.5) / 2**52), -i)) if w else best
+        return -best[1]
+
+    for weights in ([1.0] * 40, [1.0, 3.0, 0.0, 0.5]):
+        rows = [(i * 7919 - 1000, f"t{i % 3}") for i in range(400)] + [(None, "x")]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        for r in sharding.shard_documents(df, len(weights), weights).collect():
+            assert r.shard == plain(r.doc_id, weights) and r.grown_shard == plain(r.doc_id, [*weights, max(weights)])
+
+
+def test_very_many_copies_get_each_a_slot(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK", 10)
+    df = spark.createDataFrame([(1, "a")] * 95 + [(2, "b")] * 10 + [(3, None)] * 11, "doc_id long, text string")
+    got = sharding.shard_documents(df, 3).collect()
+    assert sorted(r.doc_id for r in got) == [1] * 95 + [2] * 10 + [3] * 11
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def test_weights_decide_shares(spark):
     df = spark.range(20_000).select(sharding.rendezvous(__import__("pyspark").sql.functions.col("id"), [1, 3, 0]).alias("s"))
     n = {r.s: r["count"] for r in df.groupBy("s").count().collect()}
