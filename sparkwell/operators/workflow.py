@@ -15,10 +15,47 @@ from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 Step = Callable[[DataFrame], DataFrame]
 
 
+def branched(key: Column, steps: dict[Any, Step], other: Step | None = None) -> Step:
+    """Each row by the step that its key names; rows of other keys by `other`, or not at all."""
+
+    def run(df: DataFrame) -> DataFrame:
+        known = F.coalesce(key.isin(list(steps)), F.lit(False))
+        parts = [df.where(key == k).transform(s) for k, s in steps.items()]
+        parts += [df.where(~known).transform(other)] if other else []
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+    return run
+
+
+def mapped(**columns: Column) -> Step:
+    return lambda df: df.withColumns(columns)
+
+
+def parallel(*steps: Step) -> Step:
+    """All steps over the same rows, their results together."""
+    return lambda df: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.transform(s) for s in steps])
+
+
+def fallback(*steps: Callable[..., Any]) -> Callable[..., Any]:
+    """The first step that doesn't fail."""
+
+    def run(*args, **options):
+        for i, step in enumerate(steps):
+            try:
+                return step(*args, **options)
+            except Exception:
+                if i + 1 == len(steps):
+                    raise
+        raise AssertionError
+
+    return run
+
+
 def chained(*steps: Step) -> Step:
     return lambda df: reduce(lambda d, s: d.transform(s), steps, df)
 
@@ -57,6 +94,21 @@ class Tool:
     call: Callable[..., Any]
 
 
+def reasoning_messages(
+    tools: list[Tool], history: list[tuple[str, str]], steps: list[tuple[str, str]], context: str = "", observer: str = "user"
+) -> list[tuple[str, str]]:
+    """(role, text) messages for a model that reasons with tools: what it may use, the history, then its steps.
+
+    steps are (kind, text); an observation is said by `observer`, all others by the assistant.
+    """
+    listing = "\n".join(f"> Tool Name: {t.name}\nTool Description: {t.description}" for t in tools)
+    head = f"You can use these tools: {', '.join(t.name for t in tools)}\n{listing}\n"
+    if context:
+        head += f"\nHere is some context to help you answer the question and plan:\n{context}\n"
+    said = [(observer if kind == "observation" else "assistant", text) for kind, text in steps]
+    return [("system", head), *history, *said]
+
+
 _ACTION = re.compile(r"(?s)Action:\s*([^\n(]+?)\s*\n+Action Input:\s*(\{.*?\})\s*(?:\n|$)")
 _ANSWER = re.compile(r"(?s)Answer:\s*(.*)$")
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from copy import copy
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwell.functions.models import echo, hash_embedding
-from sparkwell.operators import chunking, keywords, retrieval, synthesis, tree
+from sparkwell.operators import chunking, ingestion, keywords, retrieval, synthesis, tree
 from sparkwell.operators.common import numbered
+from sparkwell.operators.workflow import Tool
 
 #: Settings of each index kind: hits, and how answers are made.
 DEFAULTS = {
@@ -43,6 +45,36 @@ class Engine:
         if kind == "vector":
             self.nodes = self.nodes.withColumn("embedding", self.settings.embed(F.col("text")))
 
+    def _changed(self, nodes: DataFrame) -> Engine:
+        other = copy(self)
+        other.nodes = nodes
+        return other
+
+    def insert(self, documents: DataFrame) -> Engine:
+        """The engine with these documents too; documents that it has already are replaced."""
+        new = Engine(documents, self.kind, self.settings).nodes
+        return self._changed(self.delete(documents).nodes.unionByName(new))
+
+    def delete(self, documents: DataFrame) -> Engine:
+        """The engine without these documents (doc_id)."""
+        return self._changed(self.nodes.join(documents.select("doc_id").distinct(), "doc_id", "left_anti"))
+
+    def refresh(self, documents: DataFrame, stored: DataFrame) -> tuple[Engine, DataFrame]:
+        """The engine with new and changed documents, against their stored hashes (doc_id, hash), and (doc_id, refreshed)."""
+        told = ingestion.refresh(documents, stored)
+        new = documents.join(told.where("refreshed").select("doc_id"), "doc_id", "left_semi")
+        return self.insert(new), told
+
+    def as_tool(self, name: str, description: str, k: int | None = None, answers: bool = True) -> Tool:
+        """A tool for reasoning: the answer to one input, or the texts that are retrieved for it."""
+
+        def call(input: str) -> str:
+            asked = self.nodes.sparkSession.createDataFrame([(0, input)], "query_id long, query_str string")
+            rows = self.ask(asked) if answers else self.chunks(asked, k).orderBy("pos").select("text")
+            return "\n".join(r[-1] or "" for r in rows.limit(1 if answers else k or 10).collect())
+
+        return Tool(name, description, call)
+
     def retrieve(self, queries: DataFrame, k: int | None = None) -> DataFrame:
         """(query_id, node_id, score, ...)."""
         k = k or DEFAULTS[self.kind][0]

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from sparkwell.functions import filters, parsers, pii, text
 from sparkwell.functions.models import echo, fixed
-from sparkwell.operators import evaluation, extractors, graph, ingestion, keywords, memory, postprocess, retrieval, synthesis
+from sparkwell.operators import evaluation, extractors, graph, ingestion, keywords, memory, objects, postprocess, programs, retrieval, synthesis
 from sparkwell.plans import engines
+from sparkwell.plans.engine import Engine, Settings
 from sparkwell.plans.queries import _DOC_WORDS, _SCORED, _asked, _docs, _t, _top, _vectors, query
 from sparkwell.sources import readers
 
@@ -336,3 +337,54 @@ def extracted_summaries(spark, sf):
     own = extractors.summaries(nodes, echo, ("self", "prev", "next"))
     held = lambda k: F.md5(F.try_element_at("metadata", F.lit(k)).cast("binary"))
     return own.select("doc_id", held("section_summary").alias("own"), held("prev_section_summary").alias("prev"), held("next_section_summary").alias("next"))
+
+
+# ---- objects and programs
+
+@query("""SELECT n_name AS node_id, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS text, 'nation' AS kind, n_name AS name FROM nation""")
+def object_nodes(spark, sf):
+    own = objects.object_nodes(_t(spark, sf, "nation"), "nation", "n_name", "n_name")
+    held = lambda k: F.element_at("metadata", F.lit(k))
+    return own.select("node_id", "text", held("object_type").alias("kind"), held("name").alias("name"))
+
+
+@query(_SCORED.format(score=_COSINE, where="AND n.label < 5", k=3).replace("vec_id, rank", "vec_id::VARCHAR AS node_id, rank"))
+def object_retrieval(spark, sf):
+    nodes, asked = _vectors(spark, sf)
+    # descriptions are vectors written as text, and reading them is the embedding
+    told = lambda df, key: df.select(key, F.to_json("embedding").alias("said"), "label")
+    made = objects.object_nodes(told(nodes.where("label < 5"), "vec_id"), "vector", "vec_id", description="said")
+    questions = asked.select("query_id", F.to_json("embedding").alias("query_str"))
+    own = objects.retrieve(made, questions, lambda t: F.from_json(t, "array<float>"), 3)
+    return own.select("query_id", "node_id", *_long("rank"), F.round("score", 6).alias("score"))
+
+
+@query("""SELECT p_partkey, p_brand AS brand, p_size::BIGINT AS size, p_size % 2 = 0 AS several FROM part WHERE p_size % 5 <> 0 UNION ALL SELECT p_partkey, NULL, NULL, p_size % 2 = 0 FROM part WHERE p_size % 5 = 0""")
+def programs_with_schema(spark, sf):
+    rows = _t(spark, sf, "part").select("p_partkey", "p_brand", "p_size")
+    # the stand-in for a model reads the parts of its prompt, and fails at every fifth size
+    said = lambda p: F.concat(F.lit('```json\n{"brand": "'), F.regexp_extract(p, r"(Brand#\d+)", 1), F.lit('", "size": '), F.regexp_extract(p, r"of (\d+)", 1), F.lit("}\n```"))
+    model = lambda p: F.when(F.regexp_extract(p, r"of (\d+)", 1).cast("int") % 5 != 0, said(p)).otherwise("I can't say.")
+    own = programs.run(rows, model, "struct<brand:string,size:bigint>", "What is {p_brand} of {p_size}?")
+    return own.select("p_partkey", F.col("output.brand").alias("brand"), F.col("output.size").alias("size"), (F.col("p_size") % 2 == 0).alias("several"))
+
+
+@query("""SELECT p_partkey, p_name AS name, 2 AS n FROM part""")
+def programs_by_function(spark, sf):
+    rows = _t(spark, sf, "part").select("p_partkey", F.col("p_name").alias("input"))
+    call = lambda p: F.to_json(F.array(*[F.struct(F.lit(n).alias("name"), F.to_json(F.struct(p.alias("value"))).alias("arguments")) for n in ("other", "keep")]))
+    own = programs.call(rows, call, "keep", "struct<value:string>")
+    several = programs.run_several(rows.select("p_partkey", "input"), fixed('[{"v": 1}, {"v": 2}]'), "struct<v:int>", 2)
+    both = own.select("p_partkey", F.col("output.value").alias("name")).join(several.select("p_partkey", F.size("output").cast("int").alias("n")), "p_partkey")
+    return both.select("p_partkey", "name", "n")
+
+
+@query("""WITH d AS (SELECT source || '-' || doc_id AS doc_id, n_chars FROM documents WHERE n_chars < 300),
+k AS (SELECT doc_id FROM d WHERE n_chars % 3 <> 1) SELECT doc_id FROM k""")
+def engine_upkeep(spark, sf):
+    docs = _docs(spark, sf).where("n_chars < 300").select(F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("doc_id"), "text", "n_chars")
+    engine = Engine(docs.where("n_chars % 3 = 0"), "keyword", Settings(chunk_size=4096, chunk_overlap=0))
+    engine = engine.insert(docs.where("n_chars % 3 = 1")).delete(docs.where("n_chars % 3 = 1"))
+    stored = ingestion.hashed(docs.where("n_chars % 3 = 0")).select("doc_id", "hash")
+    engine, _ = engine.refresh(docs.where("n_chars % 3 <> 1"), stored)
+    return engine.nodes.select("doc_id").distinct()

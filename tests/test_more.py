@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from sparkwell.functions import parsers, pii, text, vectors
 from sparkwell.functions.arrays import running, runs
-from sparkwell.functions.models import fixed
-from sparkwell.operators import chunking, graph, keywords, retrieval, tree
+from sparkwell.functions.models import fixed, hash_embedding
+from sparkwell.operators import chunking, graph, keywords, objects, programs, retrieval, tree, workflow
 from sparkwell.operators.common import numbered
 from sparkwell.operators.stores import DocumentStore, KeyValueStore, Table
+from sparkwell.plans.engine import Engine
 from sparkwell.sources import readers
 
 
@@ -155,3 +156,53 @@ def test_a_sentence_function_splits():
     parts = lambda t: [x for x in t.replace("|", "|\0").split("\0") if x]
     got = chunking.split_sentences("a b|c d|e f", 3, 0, count=lambda t: len(t.replace("|", " ").split()), sentence=parts)
     assert got == ["a b|", "c d|", "e f"]
+
+
+def test_tools_and_objects_are_found(spark):
+    tools = spark.createDataFrame([("add", "adds two numbers", False, "{}"), ("find", "", True, None)], "name string, description string, return_direct boolean, parameters string")
+    nodes = objects.tool_nodes(tools)
+    got = {r.node_id: r for r in nodes.collect()}
+    assert got["find"].text == "find" and got["add"].text == "adds two numbers" and got["add"].metadata["object_type"] == "tool" and "parameters" not in got["find"].metadata
+    asked = spark.createDataFrame([(1, "find")], "query_id long, query_str string")
+    hit = objects.retrieve(nodes, asked, hash_embedding(32), 1).first()
+    assert hit.node_id == "find" and json.loads(hit.payload)["return_direct"] is True
+    bare = objects.object_nodes(spark.createDataFrame([(1, None)], "a int, b string"))
+    assert bare.first().text == '{"a":1,"b":null}' and len(bare.first().node_id) == 64
+
+
+def test_programs_read_what_fits(spark):
+    rows = spark.createDataFrame([(1, "x")], "a int, query string")
+    got = programs.run(rows, fixed('Here: {"v": 3}'), "struct<v:int>").first()
+    assert got.output.v == 3 and programs.run(rows, fixed("none"), "struct<v:int>").first().output is None
+    assert [o.v for o in programs.run_several(rows, fixed('[{"v": 1}, {"v": 2}]'), "struct<v:int>", 2).first().output] == [1, 2]
+    call = fixed('[{"name": "f", "arguments": "{\\"v\\": 9}"}]')
+    assert programs.call(rows, call, "f", "struct<v:int>").first().output.v == 9
+    assert programs.run(rows.select("a"), lambda p: p, "struct<a:int>", None).first().output.a == 1
+
+
+def test_steps_and_messages(spark):
+    df = spark.range(4).withColumn("k", F.col("id") % 3)
+    up = lambda d: d.withColumn("id", F.col("id") + 10)
+    assert sorted(r.id for r in df.transform(workflow.branched(F.col("k"), {0: up})).collect()) == [10, 13]
+    assert sorted(r.id for r in df.transform(workflow.branched(F.col("k"), {0: up}, lambda d: d)).collect()) == [1, 2, 10, 13]
+    assert df.transform(workflow.parallel(up, workflow.mapped(z=F.lit(1)))).count() == 8
+
+    def fails(x):
+        raise ValueError(x)
+
+    assert workflow.fallback(fails, lambda x: x + 1)(2) == 3
+    with pytest.raises(ValueError):
+        workflow.fallback(fails)(1)
+    tool = workflow.Tool("t", "does t", lambda: "")
+    said = workflow.reasoning_messages([tool], [("user", "q")], [("thought", "hm"), ("observation", "o")], "ctx")
+    assert [r for r, _ in said] == ["system", "user", "assistant", "user"] and "does t" in said[0][1] and "ctx" in said[0][1]
+
+
+def test_engines_change_and_serve_as_tools(spark):
+    docs = spark.createDataFrame([("a", "red apples grow"), ("b", "blue boats float")], "doc_id string, text string")
+    engine = Engine(docs, "keyword")
+    more = engine.insert(spark.createDataFrame([("a", "green grapes hang"), ("c", "old cars rust")], "doc_id string, text string"))
+    assert sorted(r.text for r in more.nodes.collect()) == ["blue boats float", "green grapes hang", "old cars rust"]
+    assert [r.doc_id for r in more.delete(docs).nodes.collect()] == ["c"]
+    assert more.as_tool("find", "finds", 2, answers=False).call(input="cars rust") == "old cars rust"
+    assert "boats" in engine.as_tool("ask", "answers").call(input="boats float")
