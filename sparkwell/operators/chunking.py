@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwell.functions.arrays import running
-from sparkwell.operators.common import ranges
+from sparkwell.operators.common import ordered_list, ranges
 
 # fixed values
 SENTENCE = r"[^,.;。？！]+[,.;。？！]?|[,.;。？！]"
@@ -182,21 +182,39 @@ def sentence_chunks(
     return _chunker(lambda t: split_sentences(t, size, overlap, count, sentence))(text)
 
 
-def sentence_chunks_with_metadata(text: Column, metadata: Column, size: int = 1024, overlap: int = 200, least: int = 50) -> Column:
-    """As sentence_chunks, with room left in each chunk for the row's metadata text; fails if less than `least` remains."""
-    check_sizes(size, overlap)
+def _with_room(size: int, overlap: int, split: Callable[[str, int, int], list[str]], least: int | None):
+    """A splitter of (text, metadata text) that leaves room for the metadata's words in each chunk."""
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series, metas: pd.Series) -> pd.Series:
         out = []
         for t, m in zip(texts, metas, strict=True):
             room = size - len((m or "").split())
-            if room < least:
+            if least is not None and room < least:
                 raise ValueError(f"metadata leaves {room} of {size} tokens for the text")
-            out.append(split_sentences(t, room, min(overlap, room - 1)) if t is not None else [])
+            room = max(room, 1)
+            out.append(split(t, room, min(overlap, room - 1)) if t is not None else [])
         return pd.Series(out)
 
-    return run(text, metadata)
+    return run
+
+
+def sentence_chunks_with_metadata(text: Column, metadata: Column, size: int = 1024, overlap: int = 200, least: int = 50) -> Column:
+    """As sentence_chunks, with room left in each chunk for the row's metadata text; fails if less than `least` remains."""
+    check_sizes(size, overlap)
+    return _with_room(size, overlap, split_sentences, least)(text, metadata)
+
+
+def token_chunks_with_metadata(text: Column, metadata: Column, size: int = 1024, overlap: int = 20, separator: str = " ") -> Column:
+    """As token_chunks, with room for the row's metadata text; one word a chunk at least."""
+    check_sizes(size, overlap)
+    return _with_room(size, overlap, lambda t, n, o: split_tokens(t, n, o, separator), None)(text, metadata)
+
+
+def markdown_chunks_with_metadata(text: Column, metadata: Column, size: int = 1024) -> Column:
+    """As markdown_chunks, with room for the row's metadata text; one word a chunk at least."""
+    check_sizes(size, 0)
+    return _with_room(size, 0, lambda t, n, _: split_markdown(t, n), None)(text, metadata)
 
 
 def token_chunks(text: Column, size: int = 1024, overlap: int = 20, separator: str = " ") -> Column:
@@ -308,3 +326,15 @@ def document_nodes(docs: DataFrame, order: str = "doc_id") -> DataFrame:
         F.coalesce(F.lead(order).over(w), edge(after)).cast("string").alias("next_id"),
     )
     return docs.join(links, F.col(order) == F.col("__o"), "left").drop("__o").withColumn("node_id", F.col("doc_id").cast("string"))
+
+
+def related(nodes: DataFrame, kind: str) -> DataFrame:
+    """(node_id, related_id) of a node table's source, previous, next or parent relationship; nodes without one are left out."""
+    column = {"source": "source_id", "previous": "prev_id", "next": "next_id", "parent": "parent_id"}[kind]
+    return nodes.where(F.col(column).isNotNull()).select("node_id", F.col(column).alias("related_id"))
+
+
+def children(nodes: DataFrame, order: str = "node_id") -> DataFrame:
+    """(node_id, children): the ids of each parent's children, in order."""
+    own = nodes.where(F.col("parent_id").isNotNull()).groupBy(F.col("parent_id").alias("node_id"))
+    return own.agg(ordered_list(F.col("node_id"), F.col(order)).alias("children"))

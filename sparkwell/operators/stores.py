@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from dataclasses import asdict, dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -142,11 +143,39 @@ class VectorStore(Table):
         self.delete(ids, ["node_id"])
 
 
+@dataclass(frozen=True)
+class IndexStruct:
+    """What an index is: its id, kind and summary, the place of its rows, and the ids of its nodes by name."""
+
+    index_id: str
+    kind: str
+    summary: str = ""
+    location: str = ""
+    nodes: dict = field(default_factory=dict)
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self), sort_keys=True)
+
+    @staticmethod
+    def from_json(text: str) -> IndexStruct:
+        known = {f.name for f in fields(IndexStruct)}
+        return IndexStruct(**{k: v for k, v in json.loads(text).items() if k in known})
+
+
 class IndexStore(Table):
     def __init__(self, spark: SparkSession, folder: str):
-        super().__init__(spark, folder, "index_id string, kind string, summary string, location string")
+        super().__init__(spark, folder, "index_id string, kind string, summary string, location string, struct string")
+
+    def put_structs(self, structs: list[IndexStruct]) -> None:
+        rows = [(x.index_id, x.kind, x.summary, x.location, x.to_json()) for x in structs]
+        self.put(self.spark.createDataFrame(rows, self.schema))
+
+    def struct(self, index_id: str | None = None) -> IndexStruct | None:
+        row = self.get(index_id)
+        return IndexStruct.from_json(row.struct) if row and row.struct else None
 
     def put(self, rows: DataFrame) -> None:
+        rows = rows if "struct" in rows.columns else rows.withColumn("struct", F.lit(None).cast("string"))
         self.upsert(last_of(rows, ["index_id"]), ["index_id"])
 
     def get(self, index_id: str | None = None):

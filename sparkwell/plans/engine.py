@@ -6,13 +6,14 @@ from collections.abc import Callable
 from copy import copy
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwell.functions.models import echo, hash_embedding
 from sparkwell.operators import chunking, ingestion, keywords, retrieval, synthesis, tree
 from sparkwell.operators.common import numbered
 from sparkwell.operators.workflow import Tool
+from sparkwell.sources import readers
 
 #: Settings of each index kind: hits, and how answers are made.
 DEFAULTS = {
@@ -45,6 +46,11 @@ class Engine:
         if kind == "vector":
             self.nodes = self.nodes.withColumn("embedding", self.settings.embed(F.col("text")))
 
+    @classmethod
+    def of_directory(cls, spark: SparkSession, folder: str, kind: str = "vector", settings: Settings | None = None) -> Engine:
+        """An engine over the text files of a folder."""
+        return cls(readers.directory(spark, folder).select("doc_id", "text"), kind, settings)
+
     def _changed(self, nodes: DataFrame) -> Engine:
         other = copy(self)
         other.nodes = nodes

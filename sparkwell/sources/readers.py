@@ -124,9 +124,14 @@ def json_documents(values: DataFrame, text_key: str | None = None, metadata_keys
     return values.select(F.concat("path", F.lit("_"), F.col("index").cast("string")).alias("doc_id"), own.alias("text"), meta.alias("metadata"))
 
 
-def json_files(spark: SparkSession, path: str, text_key: str | None = None, metadata_keys: list[str] | None = None) -> DataFrame:
+def json_files(
+    spark: SparkSession, path: str, text_key: str | None = None, metadata_keys: list[str] | None = None, strict: bool = True
+) -> DataFrame:
     """An array gives a document for each element, an object one, a .jsonl file one for each line that isn't blank.
 
+    A broken value fails the read, naming its place; with strict=False it becomes a document without metadata whose error
+    column names the place, and which is null in all others.
+
     Lines are read as such, so a large .jsonl file is many tasks; a line's index is its number among those of the file.
     """
     reader = spark.read.option("recursiveFileLookup", True)
@@ -143,10 +148,18 @@ def json_files(spark: SparkSession, path: str, text_key: str | None = None, meta
     whole = whole_files(spark, path, "*.[jJ][sS][oO][nN]")
     many = F.from_json("content", "array<string>")
     rest = whole.select("path", F.posexplode(F.when(F.rlike("content", F.lit(r"^\s*\[")), many).otherwise(F.array("content"))).alias("index", "value"))
-    # parse_json fails on a broken value
-    value = F.when(F.is_variant_null(F.parse_json("value")), F.lit("null")).otherwise(F.col("value"))
-    checked = line.unionByName(rest).withColumn("value", value)
-    return json_documents(checked, text_key, metadata_keys)
+    every = line.unionByName(rest)
+    place = F.concat(F.lit("malformed JSON in "), "path", F.lit(" at "), F.col("index").cast("string"))
+    parsed = F.try_parse_json("value")
+    broken = parsed.isNull() & F.col("value").isNotNull()
+    value = F.when(F.is_variant_null(parsed), F.lit("null")).otherwise(F.col("value"))
+    if strict:
+        return json_documents(every.withColumn("value", F.when(broken, F.raise_error(place)).otherwise(value)), text_key, metadata_keys)
+    good = json_documents(every.where(~broken).withColumn("value", value), text_key, metadata_keys)
+    doc_id = F.concat("path", F.lit("_"), F.col("index").cast("string")).alias("doc_id")
+    none = F.create_map().cast("map<string,string>").alias("metadata")
+    bad = every.where(broken).select(doc_id, F.col("value").alias("text"), none, place.alias("error"))
+    return good.withColumn("error", F.lit(None).cast("string")).unionByName(bad)
 
 
 def html_metadata(page: Column) -> Column:

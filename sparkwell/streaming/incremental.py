@@ -13,11 +13,17 @@ from sparkwell.operators.stores import Table
 
 
 def csv_stream(spark: SparkSession, folder: str, columns: list[str], header: bool = True) -> DataFrame:
-    """Rows of arriving CSV files as documents of all columns."""
+    """Rows of arriving CSV files as documents (doc_id, path, text, metadata) of all columns.
+
+    A stream doesn't number a file's rows, so a row's id is its file's path and the digest of its text.
+    """
     schema = ", ".join(f"`{c}` string" for c in columns)
     df = spark.readStream.schema(schema).csv(folder, header=header, ignoreLeadingWhiteSpace=True)
     cells = [F.concat(F.lit(f"{c}: "), F.nullif(F.trim(F.col(f"`{c}`")), F.lit(""))) for c in columns]
-    return df.select(F.col("_metadata.file_path").alias("path"), F.concat_ws("\n", *cells).alias("text"))
+    own = df.select(F.col("_metadata.file_path").alias("path"), F.concat_ws("\n", *cells).alias("text"), *[F.col(f"`{c}`") for c in columns])
+    held = F.map_filter(F.create_map(*[x for c in ["path", *columns] for x in (F.lit(c), F.col(f"`{c}`"))]), lambda k, v: v.isNotNull())
+    doc_id = F.concat("path", F.lit("_row_"), F.md5(F.col("text").cast("binary")))
+    return own.select(doc_id.alias("doc_id"), "path", "text", held.alias("metadata"))
 
 
 def ingest_stream(docs: DataFrame, store: Table, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:

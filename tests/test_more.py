@@ -5,12 +5,13 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sparkwell import __main__ as cli
 from sparkwell.functions import parsers, pii, text, vectors
 from sparkwell.functions.arrays import running, runs
 from sparkwell.functions.models import fixed, hash_embedding
 from sparkwell.operators import chunking, graph, keywords, objects, programs, retrieval, tree, workflow
 from sparkwell.operators.common import numbered
-from sparkwell.operators.stores import DocumentStore, KeyValueStore, Table
+from sparkwell.operators.stores import DocumentStore, IndexStore, IndexStruct, KeyValueStore, Table
 from sparkwell.plans.engine import Engine
 from sparkwell.sources import readers
 
@@ -206,3 +207,44 @@ def test_engines_change_and_serve_as_tools(spark):
     assert [r.doc_id for r in more.delete(docs).nodes.collect()] == ["c"]
     assert more.as_tool("find", "finds", 2, answers=False).call(input="cars rust") == "old cars rust"
     assert "boats" in engine.as_tool("ask", "answers").call(input="boats float")
+
+
+def test_broken_json_is_told_where(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"t": "x"}\n{"t": \n')
+    with pytest.raises(Exception, match="a.jsonl at 1"):
+        readers.json_files(spark, str(tmp_path), "t").collect()
+    got = {r.doc_id[-1]: r for r in readers.json_files(spark, str(tmp_path), "t", strict=False).collect()}
+    assert got["0"].error is None and got["0"].text == "x" and got["1"].error.endswith("a.jsonl at 1") and got["1"].text == '{"t": '
+
+
+def test_room_for_metadata(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(words, "a b c"), (words, " ".join("x" * 30)), (None, "a")], "t string, m string")
+    for split in (chunking.token_chunks_with_metadata(F.col("t"), F.col("m"), 10, 2), chunking.markdown_chunks_with_metadata(F.col("t"), F.col("m"), 10)):
+        got = [r.c for r in df.select(split.alias("c")).collect()]
+        assert max(len(x.split()) for x in got[0]) == 7 and max(len(x.split()) for x in got[1]) == 1 and got[2] == []
+
+
+def test_relationships(spark):
+    kind = "node_id string, source_id string, prev_id string, next_id string, parent_id string"
+    nodes = spark.createDataFrame([("a", "s", None, "b", "p"), ("b", "s", "a", None, "p"), ("p", "s", None, None, None)], kind)
+    assert [(r.node_id, r.related_id) for r in chunking.related(nodes, "next").collect()] == [("a", "b")]
+    assert [(r.node_id, r.children) for r in chunking.children(nodes).collect()] == [("p", ["a", "b"])]
+
+
+def test_index_structs(spark, tmp_path):
+    store = IndexStore(spark, f"{tmp_path}/i")
+    one = IndexStruct("i1", "vector", "about", "here", {"n": "x"})
+    store.put_structs([one])
+    assert store.struct() == one == IndexStruct.from_json(one.to_json()) and store.struct("none") is None
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("Red apples grow on trees.")
+    (tmp_path / "in" / "b.md").write_text("Blue boats float.")
+    cli.main(["ingest", str(tmp_path / "in"), str(tmp_path / "store")])
+    cli.main(["search", str(tmp_path / "store"), "which boats float", "-k", "1"])
+    told = capsys.readouterr().out
+    assert "2 nodes" in told and "Blue boats" in told and "apples" not in told
+    assert Engine.of_directory(spark, str(tmp_path / "in"), "keyword").nodes.count() == 2
