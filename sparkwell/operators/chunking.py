@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwell.functions.arrays import running
+from sparkwell.functions.arrays import let, running
 from sparkwell.operators.common import ordered_list, ranges
 
 # fixed values
@@ -252,21 +252,21 @@ def prose_sentences(text: Column) -> Column:
 def sentence_windows(docs: DataFrame, width: int = 3, pattern: str = SENTENCE) -> DataFrame:
     """One row for each sentence: original_sentence, sentence_index, and the window of +-width sentences around it.
 
-    Windows are cut from the row's own array, so no shuffle is needed.
+    Windows are cut from the row's own array before it is written out, so nothing is shuffled or repeated.
     """
-    own = docs.withColumn("__s", sentences(F.col("text"), pattern)).select(
-        "doc_id", "__s", F.posexplode("__s").alias("sentence_index", "original_sentence")
-    )
-    start = F.greatest(F.col("sentence_index") - width, F.lit(0))
-    end = F.least(F.col("sentence_index") + width, F.size("__s") - 1)
-    return own.select(
-        "doc_id",
-        "sentence_index",
-        "original_sentence",
-        start.alias("window_start"),
-        end.alias("window_end"),
-        F.array_join(F.slice("__s", start + 1, end - start + 1), " ").alias("window"),
-    )
+
+    def windows(found):
+        def one(x, i):
+            start, end = F.greatest(i - width, F.lit(0)), F.least(i + width, F.size(found) - 1)
+            text = F.array_join(F.slice(found, start + 1, end - start + 1), " ")
+            return F.struct(
+                i.alias("sentence_index"), x.alias("original_sentence"), start.alias("window_start"), end.alias("window_end"), text.alias("window")
+            )
+
+        return F.transform(found, one)
+
+    own = docs.select("doc_id", F.explode(let(sentences(F.col("text"), pattern), windows)).alias("w"))
+    return own.select("doc_id", "w.*")
 
 
 def nodes(docs: DataFrame, chunks: Column, metadata: Column | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkwell.functions.arrays import let
 from sparkwell.functions.text import trimmed
 
 # fixed values: file name patterns of each reader
@@ -199,16 +200,20 @@ def html_text(page: Column, only: tuple[str, ...] = (), removed: tuple[str, ...]
         t = F.array_join(F.transform(F.concat(*parts), lambda x: F.concat(x, F.lit("\n"))), "")
     else:
         body = r"(?is)<body[^>]*>(.*?)</body>"
-        t = F.when(F.rlike(t, F.lit(body)), F.regexp_extract(t, body, 1)).otherwise(t)
+        t = let(t, lambda x: F.when(F.rlike(x, F.lit(body)), F.regexp_extract(x, body, 1)).otherwise(x))
     t = F.regexp_replace(t, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
     t = F.regexp_replace(t, r"<[^>]+>", "")
-    for name, char in ENTITIES.items():
-        t = F.replace(t, F.lit(name), F.lit(char))
-    t = (numeric or decimal_references)(t)
+    t = let(t, lambda x: F.when(F.contains(x, F.lit("&")), let(_named_references(x), numeric or decimal_references)).otherwise(x))
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n\s*\n+", "\n\n")
     return trimmed(t)
 
 
+def _named_references(t: Column) -> Column:
+    for name, char in ENTITIES.items():
+        t = F.replace(t, F.lit(name), F.lit(char))
+    return t
+
+
 def decimal_references(t: Column) -> Column:
     """&#NNN; decoded natively: what stands between the references is joined with their characters."""
     pattern = r"&#(\d+);"
