@@ -20,24 +20,36 @@ SUMMARY = "Summarize for the query {query_str}:\n{context_str}\n"
 EMPTY = "Empty Response"
 
 
+def _pack_numbers(most: int, gap: int):
+    """For an array of sizes the number of the pack that each goes to: a sequential fold, as an Arrow function."""
+
+    @F.pandas_udf("array<int>")
+    def run(sizes: pd.Series) -> pd.Series:
+        out = []
+        for row in sizes:
+            packs, pack, held = [], -1, 0
+            for n in row:
+                if held == 0 or held + gap + n > most:
+                    pack, held = pack + 1, n
+                else:
+                    held += gap + n
+                packs.append(pack)
+            out.append(packs)
+        return pd.Series(out)
+
+    return run
+
+
 def packed(chunks: DataFrame, most: int = 4096, separator: str = "\n\n") -> DataFrame:
     """(query_id, pos, text): consecutive chunks joined while they fit in `most` bytes.
 
     The running size restarts with each pack, so it is a fold over each query's array of sizes; texts are then joined by
     group.
     """
-    gap = len(separator.encode())
     sizes = chunks.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.octet_length("text").alias("n")))).alias("s"))
-    start = F.struct(F.lit(-1).alias("pack"), F.lit(0).alias("size"), F.array().cast("array<struct<pos:bigint,pack:int>>").alias("out"))
-
-    def step(a, x):
-        new = (a["size"] == 0) | (a["size"] + gap + x["n"] > most)
-        pack = F.when(new, a["pack"] + 1).otherwise(a["pack"])
-        size = F.when(new, x["n"]).otherwise(a["size"] + gap + x["n"])
-        put = F.struct(x["pos"].cast("bigint").alias("pos"), pack.alias("pack"))
-        return F.struct(pack.alias("pack"), size.alias("size"), F.concat(a["out"], F.array(put)).alias("out"))
-
-    packs = sizes.select("query_id", F.explode(F.aggregate("s", start, step)["out"]).alias("o")).select("query_id", "o.pos", "o.pack")
+    numbers = _pack_numbers(most, len(separator.encode()))(F.transform("s", lambda x: F.coalesce(x["n"], F.lit(0))))
+    places = F.transform("s", lambda x: x["pos"].cast("bigint"))
+    packs = sizes.select("query_id", F.explode(F.arrays_zip(places.alias("pos"), numbers.alias("pack"))).alias("o")).select("query_id", "o.pos", "o.pack")
     own = chunks.join(packs, ["query_id", "pos"])
     joined = own.groupBy("query_id", "pack").agg(F.array_join(ordered_list(F.col("text"), F.col("pos")), separator).alias("text"))
     return joined.select("query_id", F.col("pack").alias("pos"), "text")
