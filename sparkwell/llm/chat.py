@@ -103,8 +103,9 @@ def format_conversations(conversations: DataFrame, template: Template = TEMPLATE
     """conv_id, valid, bad_turn and the segments (text, loss) of every conversation.
 
     A conversation whose roles the machine refuses is still formatted, with valid false and the place of the first
-    refused turn (null when only the end is wrong). Unknown and null roles are refused. All rows of a conversation
-    meet in one row, which is what a formatted conversation is.
+    refused turn (null when only the end is wrong). Unknown and null roles are refused; null and empty texts are written as
+    empty ones; repeated rows are turns each, in order of role and text. All rows of a conversation meet in one row, which is
+    what a formatted conversation is, so a very long one must fit in a row; long texts are escaped in one pass.
     """
 
     def run(batches):

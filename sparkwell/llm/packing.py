@@ -347,7 +347,7 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = 2048, parts: int = PARTS)
     """Every piece of every row with its sequence_id and its offset there; offsets fill each sequence without gaps.
 
     Only texts of more than `limit` ids are cut. A null text is empty and still has the closing 0; repeated rows are
-    packed each; an empty table gives no rows; extra columns are not read. Pieces are tokenised once and checkpointed.
+    packed each; a very long text is tokenised at once; an empty table gives no rows; extra columns are not read. Pieces are tokenised once and checkpointed.
     The driver gets one count for each length (at most `limit`). Ranks come from a numbering in `parts` parts of each
     length and the parts' offsets, so many equal documents do not meet in one task.
     """
