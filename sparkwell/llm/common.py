@@ -29,6 +29,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a few numbers each up to which a table is broadcast.
+FEW = 500_000
+
+
+def few(df: DataFrame, most: int | None = None) -> DataFrame:
+    """`df`, to be joined: broadcast if it has at most `most` rows, FEW by default (it is counted), else as it is."""
+    most = FEW if most is None else most
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def whole_text(column: str = "text") -> Column:
     """A text column in which null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

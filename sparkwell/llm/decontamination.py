@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwell.llm.common import cut, let, runs, whole_text
+from sparkwell.llm.common import FEW, cut, few, let, runs, whole_text
 
 #: Template tokens of a window; a shorter item is its own window.
 WINDOW = 8
@@ -23,8 +23,6 @@ LITERAL = 4
 COVER = 0.5
 #: Windows of the benchmark that are broadcast at once (about 200 bytes each); more are asked in several passes.
 BLOCK = 100_000
-#: Found texts up to which their keys (two numbers each) are broadcast.
-FEW = 500_000
 #: Tokens of a text whose windows are held at once.
 STRETCH = 4096
 # fixed values: units of measurement that may follow a number
@@ -212,11 +210,6 @@ def _all_equal(x: Column, y: Column, names: tuple[str, ...]) -> Column:
 TEXT = ["doc_id", "text_hash"]
 
 
-def _few(found: DataFrame) -> DataFrame:
-    """Keys of texts, broadcast if they are at most FEW."""
-    return F.broadcast(found) if found.limit(FEW + 1).count() <= FEW else found
-
-
 def _with_values(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """Hits as (text, item, shift, w: item_at, window, slots with the values that the text has for them).
 
@@ -226,7 +219,7 @@ def _with_values(hits: DataFrame, docs: DataFrame) -> DataFrame:
     own = cut(hits.groupBy(*TEXT).agg(F.collect_set(F.struct("at", *names)).alias("hits")))
     keys = own.select(F.col("doc_id").alias("__hit_id"), F.col("text_hash").alias("__hit_text"))
     same = F.col("doc_id").eqNullSafe(F.col("__hit_id")) & (F.col("text_hash") == F.col("__hit_text"))
-    texts = docs.select("doc_id", text_hash().alias("text_hash"), whole_text().alias("text")).join(_few(keys), same, "left_semi")
+    texts = docs.select("doc_id", text_hash().alias("text_hash"), whole_text().alias("text")).join(few(keys, FEW), same, "left_semi")
     texts = texts.select(*TEXT, raw_tokens(F.col("text")).alias("raw"))
     both = own.withColumnsRenamed({"doc_id": "__hit_id", "text_hash": "__hit_text"}).join(texts, same)
 
@@ -306,4 +299,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFram
     found = _text_leaks(docs, benchmark, **options)
     found = cut(found.select(F.col("doc_id").alias("__leak_id"), F.col("text_hash").alias("__leak_text")).distinct())
     own = F.col("doc_id").eqNullSafe(F.col("__leak_id")) & (text_hash() == F.col("__leak_text"))
-    return docs.join(_few(found), own, "left_anti")
+    return docs.join(few(found, FEW), own, "left_anti")

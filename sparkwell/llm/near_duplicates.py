@@ -29,7 +29,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwell.llm.common import cut
+from sparkwell.llm.common import cut, few
 from sparkwell.llm.components import components
 
 WORDS = 5
@@ -39,8 +39,6 @@ SHARE = (3, 4)
 BLOCK = 2_000_000
 #: Chunks of a block from which on it is asked whether its groups are less work.
 CHUNKS = 8
-#: Blocks whose names are broadcast at most.
-LARGE = 100_000
 #: Buckets of shingles for each shuffle partition; a worker holds one bucket at a time.
 SPLIT = 2
 #: Bytes of text that are hashed at once.
@@ -455,7 +453,6 @@ def _tasks(sets: DataFrame, block: int, chunks: int) -> DataFrame:
     if large.isEmpty():
         return _in_chunks(labels, sets, "label", block)
 
-    few = F.broadcast if large.limit(LARGE + 1).count() <= LARGE else (lambda df: df)
     inside = labels.join(few(large.select("label")), "label")
     groups = probes.join(inside, "set_key").groupBy("label", "shingle", "bin")
     # groups of the same sets are one: told by their number and two sums of hashes without carry
@@ -472,7 +469,7 @@ def _tasks(sets: DataFrame, block: int, chunks: int) -> DataFrame:
         .select("label", F.concat_ws("/", "shingle", "bin").alias("group"), "set_key")
     )
     work = grouped.join(size, "set_key").groupBy("label").agg(F.sum("s").alias("work")).join(large, "label")
-    better = work.where(F.col("work") < F.col("volume") * F.ceil(F.col("volume") / F.lit(block))).select("label")
+    better = cut(work.where(F.col("work") < F.col("volume") * F.ceil(F.col("volume") / F.lit(block))).select("label"))
     by_group = grouped.join(few(better), "label", "left_semi").select("group", "set_key")
     by_block = labels.join(few(better), "label", "left_anti")
     return _in_chunks(by_block, sets, "label", block).unionByName(_in_chunks(by_group, sets, "group", block))

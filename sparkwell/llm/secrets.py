@@ -16,7 +16,7 @@ from re import _parser as sre
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwell.llm.common import let, running, whole_text
+from sparkwell.llm.common import cut, few, let, running, whole_text
 
 #: Strings that a finite part of an expression may spell before it is cut into trigrams.
 MOST_STRINGS = 32
@@ -189,12 +189,13 @@ def with_spans(
     """All columns of `docs` and secret_spans: the matches of all rules as (start, place of the rule, end).
 
     Places are code points, or what else `size` counts (F.octet_length: bytes). Rows are told apart by doc_id (by their
-    text where it is null); rows that share one are verified each.
+    text where it is null); rows that share one are verified each. The candidates of the index are broadcast if they are
+    few, so that no text is shuffled; else texts are joined with them.
     """
     rules = base + extra
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
     indexed = tuple(r for r in rules if trigram_query(r.pattern))
-    kept = candidates(docs, key, indexed).withColumnsRenamed({"row_key": "__secret_key", "kinds": "__secret_kinds"})
+    kept = cut(candidates(docs, key, indexed).withColumnsRenamed({"row_key": "__secret_key", "kinds": "__secret_kinds"}))
     text = whole_text()
     found = F.concat(
         *[
@@ -206,7 +207,7 @@ def with_spans(
     )
     return (
         docs.withColumn("__secret_key", key)
-        .join(kept, "__secret_key", "left")
+        .join(few(kept), "__secret_key", "left")
         .select(*[docs[c] for c in docs.columns], found.alias("secret_spans"))
     )
 
