@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,10 @@ BM25_STOP_WORDS = (
 ).split()
 
 
+#: Asked terms up to which their document frequencies go through the driver.
+FEW_TERMS = 100_000
+
+
 def words(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, word) of every keyword occurrence: lower-cased, without punctuation around it, three bytes or more."""
     own = df.select(key, F.explode(F.split(F.lower(text), r"\s+", -1)).alias("w"))
@@ -74,7 +79,7 @@ def probe(table: DataFrame, queries: DataFrame, k: int = 10, key: str = "node_id
 
 def bm25_tokens(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, term) of every term occurrence: lower-cased, ASCII word characters, without stop words."""
-    own = df.select(key, F.explode(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9_\s]", " "), r"\s+", -1)).alias("term"))
+    own = df.select(key, F.explode(F.split(F.lower(text), "[^a-z0-9_]+", -1)).alias("term"))
     return own.where((F.col("term") != "") & ~F.col("term").isin(BM25_STOP_WORDS))
 
 
@@ -88,7 +93,7 @@ def bm25_words(text: str, tokenize: Callable[[Column], Column] | None = None) ->
     """A text's terms as an array: by default lower-cased, ASCII word characters, without stop words."""
     if tokenize is not None:
         return tokenize(F.col(text))
-    parts = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9_\s]", " "), r"\s+", -1)
+    parts = F.split(F.lower(text), "[^a-z0-9_]+", -1)
     return F.filter(parts, lambda t: (t != "") & ~t.isin(BM25_STOP_WORDS))
 
 
@@ -106,14 +111,26 @@ def bm25_weights(
     Lengths count the terms that remain after stop words; documents without any term count in the mean. With `only`
     (term), weights of these terms alone: other terms leave before they are counted or shuffled.
     """
-    own = docs.select(key, bm25_words("text", tokenize).alias("__t")).withColumn("dl", F.coalesce(F.size("__t"), F.lit(0)))
-    total = own.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("s")).first()
-    mean = (total.s or 0) / total.n if total.n else 0.0
-    terms = own.select(key, "dl", F.explode("__t").alias("term"))
-    if only is not None:
-        terms = terms.join(small_side(only.select("term").distinct(), 100_000), "term", "left_semi")
-    tf = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    idf = bm25_fit(tf, key, total.n)
+    own = docs.select(key, bm25_words("text", tokenize).alias("__t"))
+    terms = own.select(key, F.coalesce(F.size("__t"), F.lit(0)).alias("dl"), F.explode("__t").alias("term"))
+    asked = None if only is None else only.select("term").distinct()
+    if asked is not None and asked.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
+        # one pass for the few terms' document frequencies, and for the lengths, which stand under the empty term
+        every = F.concat(F.array(F.lit("")), F.coalesce(F.array_distinct("__t"), F.array().cast("array<string>")))
+        once = own.select(F.size("__t").alias("dl"), F.explode(every).alias("term"))
+        once = once.join(F.broadcast(asked.union(docs.sparkSession.createDataFrame([("",)], "term string"))), "term", "left_semi")
+        found = once.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("s")).collect()
+        n, total = next(((r.df, r.s or 0) for r in found if r.term == ""), (0, 0))
+        rows = [(r.term, math.log((n - r.df + 0.5) / (r.df + 0.5) + 1)) for r in found if r.term != ""]
+        idf = F.broadcast(docs.sparkSession.createDataFrame(rows, "term string, idf double"))
+        terms = terms.join(F.broadcast(asked), "term", "left_semi")
+    else:
+        n, total = own.agg(F.count(F.lit(1)), F.sum(F.size("__t"))).first()
+        terms = terms if asked is None else terms.join(asked, "term", "left_semi")
+        idf = None
+    mean = (total or 0) / n if n else 0.0
+    tf = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+    idf = bm25_fit(tf, key, n) if idf is None else idf
     norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * (F.col("dl") / F.lit(float(mean)))))
     return tf.join(idf, "term").select(key, "term", (F.col("idf") * (norm + delta)).alias("weight"), "idf")
 
@@ -121,7 +138,7 @@ def bm25_weights(
 def bm25_search(weights: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", query_weight: str = "idf") -> DataFrame:
     """(query_id, key, score, rank): sum over a query's distinct known terms of its weight (idf or 1) times the document's."""
     asked = bm25_tokens(queries, "query_id", "query_str").distinct()
-    hits = asked.join(weights, "term")
+    hits = weights.join(small_side(asked, 1_000_000), "term")
     by = F.col("weight") * (F.col("idf") if query_weight == "idf" else F.lit(1.0))
     scored = hits.groupBy("query_id", key).agg(F.sum(by).alias("score")).where("score > 0")
     return top_k(scored, k, F.round("score", 9), key)
