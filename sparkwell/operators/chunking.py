@@ -239,7 +239,8 @@ def word_chunks(text: Column, size: int) -> Column:
 
 def sentences(text: Column, pattern: str = SENTENCE) -> Column:
     """All matches of the sentence pattern, trimmed, without empty ones."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # the default pattern matches what a cut after each of its marks leaves; cutting is faster where threads share a class
+    found = F.split(text, "(?<=[,.;。？！])", -1) if pattern == SENTENCE else F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return F.filter(F.transform(found, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 

@@ -79,7 +79,7 @@ def probe(table: DataFrame, queries: DataFrame, k: int = 10, key: str = "node_id
 
 def bm25_tokens(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, term) of every term occurrence: lower-cased, ASCII word characters, without stop words."""
-    own = df.select(key, F.explode(F.split(F.lower(text), "[^a-z0-9_]+", -1)).alias("term"))
+    own = df.select(key, F.explode(F.split(F.lower(text), r"\W+", -1)).alias("term"))
     return own.where((F.col("term") != "") & ~F.col("term").isin(BM25_STOP_WORDS))
 
 
@@ -93,7 +93,7 @@ def bm25_words(text: str, tokenize: Callable[[Column], Column] | None = None) ->
     """A text's terms as an array: by default lower-cased, ASCII word characters, without stop words."""
     if tokenize is not None:
         return tokenize(F.col(text))
-    parts = F.split(F.lower(text), "[^a-z0-9_]+", -1)
+    parts = F.split(F.lower(text), r"\W+", -1)
     return F.filter(parts, lambda t: (t != "") & ~t.isin(BM25_STOP_WORDS))
 
 
@@ -112,7 +112,8 @@ def bm25_weights(
     (term), weights of these terms alone: other terms leave before they are counted or shuffled.
     """
     own = docs.select(key, bm25_words("text", tokenize).alias("__t"))
-    terms = own.select(key, F.coalesce(F.size("__t"), F.lit(0)).alias("dl"), F.explode("__t").alias("term"))
+    terms = own.select(key, F.coalesce(F.size("__t"), F.lit(0)).alias("dl"), F.explode_outer("__t").alias("term"))
+    terms = terms.where(F.col("term").isNotNull())  # a plain explode would ask for the array's size first, and so split twice
     asked = None if only is None else only.select("term").distinct()
     if asked is not None and asked.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
         # one pass for the few terms' document frequencies, and for the lengths, which stand under the empty term

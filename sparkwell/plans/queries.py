@@ -49,7 +49,7 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _docs(spark, sf):
-    return _t(spark, sf, "documents")
+    return readers.spread(_t(spark, sf, "documents"))
 
 
 def _vectors(spark, sf):
@@ -464,7 +464,7 @@ def _html_sql() -> str:
 
 @query(f"SELECT page_id, md5({_html_sql()}) AS text_md5 FROM pages")
 def html_text(spark, sf):
-    return _t(spark, sf, "pages").select("page_id", F.md5(readers.html_text(F.col("html")).cast("binary")).alias("text_md5"))
+    return readers.spread(_t(spark, sf, "pages")).select("page_id", F.md5(readers.html_text(F.col("html")).cast("binary")).alias("text_md5"))
 
 
 @query("""SELECT page_id, nullif(trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)), '') AS title,

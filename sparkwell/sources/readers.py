@@ -35,6 +35,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt by its first column to as many partitions as there are cores, if it is read in fewer; else as it is.
+
+    A small file is read by one task, whatever is done to its rows; tables of many files are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, df.columns[0]) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def whole_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
     """(path, name, content) of each file as text."""
     reader = spark.read.option("recursiveFileLookup", recursive)
