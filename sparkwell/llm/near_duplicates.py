@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,15 +156,14 @@ def _deal(buckets: int):
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = -1
+        seat = (TaskContext.get().partitionId() * 7919) % buckets
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            first = (first + 1) * 7919 + batch.num_rows
             for at, sets in _texts(batch.column(1)):
                 keys = set_keys(sets)
                 n = [len(s) for s in sets]
                 own = [
-                    [(first + at + i) % buckets for i in range(len(sets))],  # copies and empty texts spread evenly
+                    [(seat + i) % buckets for i in range(len(sets))],  # copies and empty texts spread evenly
                     ids[at : at + len(sets)],
                     [int(k) if m else None for k, m in zip(keys, n, strict=True)],
                     n,
@@ -171,6 +171,7 @@ def _deal(buckets: int):
                     [None] * len(sets),
                 ]
                 yield _batch(names, kinds, own)
+                seat = (seat + len(sets)) % buckets
                 _, once = np.unique(keys, return_index=True)  # copies within a slice are dealt once
                 once = np.array([i for i in once if n[i]], np.int64)
                 if not len(once):
