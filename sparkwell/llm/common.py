@@ -24,9 +24,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` computed once and written to the shared folder, so that a lost executor costs no recomputation."""
+    """`df` computed once and written to the shared folder, so that a lost executor costs no recomputation.
+
+    The driver then collects its garbage: a long row of small jobs else lets its heap grow to its limit, and shuffles and
+    checkpoints that nothing refers to any more stay on disk.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    done = df.checkpoint()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return done
 
 
 #: Rows of a few numbers each up to which a table is broadcast.

@@ -707,3 +707,11 @@ def test_fingerprints_of_one_id_and_of_long_texts(spark):
         edited = t[: len(t) - half] + following[:half]
         want.add((hashlib.sha256(edited.encode()).hexdigest(), round(py_likeness(t, edited), 9), round(py_likeness(t, following), 9)))
     assert got == want
+
+
+def test_cut_leaves_no_garbage_on_the_driver(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    assert common.cut(spark.range(3)).count() == 3
+    assert full() > before
