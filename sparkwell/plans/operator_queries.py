@@ -134,7 +134,7 @@ def list_index_by_embedding(spark, sf):
 @query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT q.vec_id AS query_id, n.vec_id, round(coalesce(list_cosine_similarity(q.e, n.e), 0), 6) AS score FROM v q, v n WHERE q.vec_id % 20 = 0")
 def list_index_scores(spark, sf):
     nodes, asked = _vectors(spark, sf)
-    return retrieval.list_index(nodes, asked, "embedding", 0, "vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    return retrieval.list_index(readers.spread(nodes), asked, "embedding", 0, "vec_id", digits=6)
 
 
 # ---- indexes and stores

@@ -216,3 +216,16 @@ def test_mmr_ranks_equal_values_by_score_and_not_by_rounding_errors(spark):
     second = max((s, -i) for i, s in enumerate(likeness) if i)
     found = retrieval.mmr(c, 2).orderBy("rank").collect()
     assert [(r.node_id, r.score) for r in found] == [(0, 0.5), (-second[1], 0.0)]
+
+
+def test_all_scores_by_products_are_those_of_the_expressions(spark, monkeypatch):
+    rng = random.Random(3)
+    vectors = [[float(rng.randint(-3, 3)) for _ in range(4)] for _ in range(40)] + [[0.0] * 4, [1.0, 2.0], []]
+    nodes = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)] + [(99, None)], "node_id long, embedding array<float>")
+    queries = nodes.where("node_id % 4 = 0 or node_id > 39").withColumnRenamed("node_id", "query_id")
+    expected = rows(retrieval.scored(nodes, queries).withColumn("score", F.round("score", 6) + 0.0), "query_id", "node_id", "score")
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(retrieval, "SCORE_BLOCK", 12)
+    found = retrieval.list_index(nodes, queries, "embedding", digits=6)
+    assert rows(found, "query_id", "node_id", "score") == expected
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()  # no loop over dimensions for each pair
