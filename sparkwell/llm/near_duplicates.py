@@ -441,12 +441,7 @@ def _tasks(sets: DataFrame, block: int, chunks: int) -> DataFrame:
     centre = F.min(F.when(F.col("smaller"), F.col("set_key")))
     centres = probes.groupBy("shingle", "bin").agg(centre.alias("centre"), F.count(F.lit(1)).alias("many"))
     centres = centres.where("many > 1 and centre is not null")
-    together = (
-        probes.join(centres, ["shingle", "bin"])
-        .where("set_key <> centre")
-        .select(F.col("set_key").alias("a"), F.col("centre").alias("b"))
-        .distinct()
-    )
+    together = probes.join(centres, ["shingle", "bin"]).where("set_key <> centre").select(F.col("set_key").alias("a"), F.col("centre").alias("b"))
     labels = components(together).select(F.col("node").alias("set_key"), "label")
     size = sets.select("set_key", F.size("shingles").alias("s"))
     large = labels.join(size, "set_key").groupBy("label").agg(F.sum("s").alias("volume")).where(F.col("volume") > F.lit(chunks * block))

@@ -715,3 +715,29 @@ def test_cut_leaves_no_garbage_on_the_driver(spark):
     before = full()
     assert common.cut(spark.range(3)).count() == 3
     assert full() > before
+
+
+def test_components_by_forests_and_in_rounds_without_a_row_of_jobs(spark):
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(0, 300)] + [(rng.randrange(1000, 3000), rng.randrange(1000, 3000)) for _ in range(900)]
+    edges += [(5000, 4000 + i) for i in range(200)] + [(7, 7), (8, None), (None, 9), (-3, 2**62)]
+    rng.shuffle(edges)
+    parent = {}
+
+    def find(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    want = {i: find(i) for i in parent}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    for most in (0, 100, 10_000):
+        spark.sparkContext.setJobGroup(f"components {most}", "")
+        found = components(df, most).collect()
+        assert len(found) == len(want) and {r.node: r.label for r in found} == want
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components 10000")) < 10  # rounds take 50 and more
+    spark.sparkContext._jsc.clearJobGroup()
+    assert components(df.where("a is null")).count() == 0
