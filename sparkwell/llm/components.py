@@ -13,6 +13,8 @@ from sparkwell.llm.common import cut
 
 #: Edges that one task holds.
 MOST = 2_000_000
+#: Edges after which a partition's forest is made anew, so that the others need little memory.
+PIECE = 250_000
 
 
 def solved(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +75,7 @@ def components(edges: DataFrame, most: int = MOST) -> DataFrame:
     few are jobs that cost the driver more than the executors. More take rounds. Rows with null ends are ignored.
     """
     ends = edges.select("a", "b").where("a is not null and b is not null and a <> b")
-    forest = cut(ends.mapInArrow(_forest(most), "a long, b long"))
+    forest = cut(ends.mapInArrow(_forest(min(most, PIECE)), "a long, b long"))
     if forest.count() <= most:
         return cut(forest.coalesce(1).mapInArrow(_labels, "node long, label long"))
     return _in_rounds(forest)
