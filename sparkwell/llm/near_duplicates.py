@@ -205,7 +205,8 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], width: int):
         mask = pa.compute.is_null(batch.column(4))
         if (plain := batch.filter(mask)).num_rows:
             yield [plain.column(i) for i in range(width)], None
-        for row in batch.filter(pa.compute.invert(mask)).to_pylist():
+        for i in np.flatnonzero(~mask.to_numpy(zero_copy_only=False)):  # row by row: a batch can be a whole partition
+            row = {name: batch.column(j)[int(i)].as_py() for j, name in enumerate(batch.schema.names)}
             if held and held[-1]["bucket"] != row["bucket"]:
                 yield None, held
                 held = []
@@ -225,6 +226,7 @@ def _find_shared(buckets: int):
             bucket = held[0]["bucket"]
             entries = np.concatenate([np.frombuffer(r["entries"], _ENTRY) for r in held])
             hashes = np.concatenate([_unpacked(r["hashes"]) for r in held])
+            held.clear()
             keys, first, which = np.unique(entries["key"], return_index=True, return_inverse=True)
             sizes = entries["size"][first]
             of = np.repeat(which.astype(np.int32), entries["count"])
